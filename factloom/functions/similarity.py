@@ -1,0 +1,158 @@
+"""Scores of two spellings, and the resolution of a mention in stored values."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.functions.text import NOISE_WORDS, normalise_text
+
+# Weights and thresholds of the scores.
+SEQUENCE_WEIGHT, TRIGRAM_WEIGHT = 0.55, 0.45
+TOKEN_RATIO, MODERATE_LEAST, MODERATE_MEAN = 0.85, 0.75, 0.80
+RESOLVED, BAND, SAME_CLUSTER, NEAR_VARIANT = 0.88, 0.90, 0.80, 0.90
+DOMINANT, DOMINANT_LEAD = 0.98, 0.05
+LEAST_CHARS, LABELS = 3, 4
+
+
+def ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def in_order(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+def grams(text: str) -> set[str]:
+    padded = f"  {text}  "
+    return {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+
+def gram_overlap(a: str, b: str) -> float:
+    if not a and not b:
+        return 1.0
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def runs_collapsed(text: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", text)
+
+
+def noise_stripped(text: str) -> str:
+    words = text.split()
+    while words and words[0] in NOISE_WORDS:
+        words = words[1:]
+    while words and words[-1] in NOISE_WORDS:
+        words = words[:-1]
+    return " ".join(words) or text
+
+
+def whole_score(a: str, b: str) -> float:
+    """Of the spellings as they are and with runs collapsed, the better blend of sequence and trigram likeness."""
+    forms = ((a, b), (runs_collapsed(a), runs_collapsed(b)))
+    return max(SEQUENCE_WEIGHT * max(ratio(x, y), ratio(in_order(x), in_order(y))) + TRIGRAM_WEIGHT * gram_overlap(x, y) for x, y in forms)
+
+
+def token_score(mention: str, candidate: str) -> float:
+    """How well every longer word of the mention is found among the candidate's words; 0 if one isn't."""
+    asked = [runs_collapsed(t) for t in mention.split() if len(t) >= LEAST_CHARS]
+    there = [runs_collapsed(t) for t in candidate.split()]
+    if not asked or not there:
+        return 0.0
+    best = [max(ratio(t, u) for u in there) for t in asked]
+    share = len(asked) / len(there)
+    if min(best) >= TOKEN_RATIO:
+        return min(1.0, 0.85 + 0.15 * share)
+    mean = sum(best) / len(best)
+    if len(asked) >= 2 and min(best) >= MODERATE_LEAST and mean >= MODERATE_MEAN:
+        return min(1.0, 0.85 + 0.15 * mean * share)
+    return 0.0
+
+
+def score(a: str, b: str) -> float:
+    """Likeness of a mention to a stored value, both in normal form."""
+    return max(whole_score(a, b), token_score(a, b))
+
+
+def near_variant(a: str, b: str) -> bool:
+    return ratio(in_order(a), in_order(b)) >= NEAR_VARIANT
+
+
+@dataclass(frozen=True)
+class Resolution:
+    """status: resolved, ambiguous or not_found; ``values`` are stored spellings, ``labels`` the choices to ask about."""
+
+    status: str
+    values: tuple[str, ...] = ()
+    labels: tuple[str, ...] = ()
+
+
+def _clusters(values: Sequence[str]) -> list[list[str]]:
+    groups: list[list[str]] = []
+    for v in values:
+        near = [g for g in groups if any(whole_score(v, w) >= SAME_CLUSTER or near_variant(v, w) for w in g)]
+        groups = [g for g in groups if g not in near] + [[x for g in near for x in g] + [v]]
+    return groups
+
+
+def resolve(mention: str, stored: Sequence[str]) -> Resolution:
+    """Find a mention among stored spellings.
+
+    A reference (up to six letters and digits) is only ever found exactly.  Others
+    are scored in normal form; candidates near the best form clusters, and one
+    cluster, or one that leads clearly, is the answer with all of its spellings.
+    """
+    key = re.sub(r"[^a-z0-9]+", "", mention.casefold())
+    if re.fullmatch(r"(?:[a-z]{2,6})?\d{3,}", key):
+        hits = sorted({v for v in stored if re.sub(r"[^a-z0-9]+", "", v.casefold()) == key})
+        return Resolution("resolved", tuple(hits)) if len(hits) == 1 else Resolution("ambiguous", (), tuple(hits[:LABELS])) if hits else Resolution("not_found")
+    wanted = noise_stripped(normalise_text(mention) or "")
+    if len(wanted.replace(" ", "")) < LEAST_CHARS:
+        return Resolution("not_found")
+    spellings: dict[str, list[str]] = {}
+    for v in stored:
+        if form := noise_stripped(normalise_text(v) or ""):
+            spellings.setdefault(form, []).append(v)
+    scored = {f: score(wanted, f) for f in spellings}
+    top = max(scored.values(), default=0.0)
+    if top < RESOLVED:
+        return Resolution("not_found")
+    group = [f for f in scored if scored[f] >= BAND * top]
+    for f in scored:
+        if f not in group and any(near_variant(f, g) for g in group):
+            group.append(f)
+    clusters = sorted(_clusters(group), key=lambda c: -max(scored[f] for f in c))
+    best = [max(scored[f] for f in c) for c in clusters]
+    if len(clusters) == 1 or (best[0] >= DOMINANT and best[0] - best[1] >= DOMINANT_LEAD):
+        return Resolution("resolved", tuple(sorted(v for f in clusters[0] for v in spellings[f])))
+    order = sorted(group, key=lambda f: (any("," in v for v in spellings[f]), -scored[f], f))
+    return Resolution("ambiguous", (), tuple(sorted(spellings[f])[0] for f in order[:LABELS]))
+
+
+def match_mentions(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Best scores of mentions (mention) in catalogued values (column_name, value): mention, column_name, value, score.
+
+    Only pairs that share a trigram are scored, so the pairs come from an equi-join on
+    trigrams and not from all combinations.  Scores under RESOLVED are left out.
+    """
+    from factloom.functions.text import normalised, trigrams, without_noise
+
+    form = lambda c: without_noise(normalised(F.col(c)))
+    asked = mentions.select("mention").distinct().withColumn("m", form("mention"))
+    there = catalogue.select("column_name", "value").distinct().withColumn("v", form("value")).where("v <> ''")
+    left = asked.select("mention", "m", F.explode(trigrams(F.col("m"))).alias("gram"))
+    right = there.select("column_name", "value", "v", F.explode(trigrams(F.col("v"))).alias("gram"))
+    pairs = left.join(right, "gram").select("mention", "m", "column_name", "value", "v").distinct()
+
+    @F.pandas_udf("double")
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(score(x, y), 6) for x, y in zip(a, b, strict=True)])
+
+    return pairs.withColumn("score", scored("m", "v")).where(F.col("score") >= RESOLVED).select("mention", "column_name", "value", "score")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from factloom.queries import relational
+
 FLAGSHIP = "guarded_revenue_by_nation"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (relational,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
