@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words of company registrations that don't distinguish names.
 NOISE_WORDS = ("pvt", "private", "ltd", "limited", "co", "company", "corp", "corporation", "inc", "llc", "plc")
@@ -27,7 +28,7 @@ def normalise_text(text: str | None) -> str | None:
     return re.sub(r"[^a-z0-9]+", " ", plain.casefold()).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(normalise_text, na_action="ignore")
 

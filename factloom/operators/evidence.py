@@ -64,7 +64,7 @@ def citation_report(answers: DataFrame, known: DataFrame, key: str = "conv_id",
 
     ``known`` has key and evidence_id.  A ratio without a base is 1.
     """
-    cited = answers.select(key, F.explode(citations(F.col(text))).alias("evidence_id"))
+    cited = answers.select(key, F.explode(citations(F.col(text))).alias("evidence_id")).distinct()
     known = known.select(key, "evidence_id").distinct()
     both = cited.withColumn("c", F.lit(1)).join(known.withColumn("k", F.lit(1)), [key, "evidence_id"], "full_outer")
     n = lambda x: F.count_if(x)

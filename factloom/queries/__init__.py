@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.queries import relational
+from factloom.queries import relational, texts
 
 FLAGSHIP = "guarded_revenue_by_nation"
-_MODULES = (relational,)
+_MODULES = (relational, texts)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
