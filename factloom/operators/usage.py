@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 
 def calls_in_window(calls: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """Adds n_recent: calls of the same key in (ts - seconds, ts], itself and ties included."""
-    frame = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    frame = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast(TimestampType()))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return calls.withColumn("n_recent", F.count("*").over(frame))
 
 
@@ -21,7 +22,7 @@ def limited(calls: DataFrame, key: str, ts: str, per_window: int, seconds: int =
 
 def pacific_day(ts):
     """The calendar day in Los Angeles of a UTC time without zone."""
-    return F.to_date(F.from_utc_timestamp(F.col(ts).cast("timestamp"), "America/Los_Angeles"))
+    return F.to_date(F.from_utc_timestamp(F.col(ts).cast(TimestampType()), "America/Los_Angeles"))
 
 
 def daily_quota(calls: DataFrame, key: str, ts: str, order: str, quota: int) -> DataFrame:
