@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 #: Stands for a null document id inside the operators; it sorts before every other id.
 NULL_ID = -(1 << 63)
 
+#: Rows that go to Python at once.  Texts are long, so Spark's default of 10,000 would
+#: need hundreds of megabytes for each task in the JVM and in Python.
+ARROW_ROWS = 1000
+_ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_folder: list[str] = []
 _shipped: set[tuple[str, str]] = set()
 
@@ -52,7 +57,9 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context and code version."""
+    """Send this package to the executors, once per context and code version, and bound the Arrow batches."""
+    if int(spark.conf.get(_ARROW_ROWS_KEY)) > ARROW_ROWS:
+        spark.conf.set(_ARROW_ROWS_KEY, ARROW_ROWS)
     root = Path(__file__).resolve().parents[1]
     files = sorted(p for p in root.rglob("*.py"))
     digest = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:16]

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import doc_key, doc_out, id_and_text, partitions, ship, written
+from factloom.llm.common import doc_key, doc_out, id_and_text, partitions, ship
 from factloom.llm.textvec import Words, buffers, mix, slices
 
 GRAM = 8
@@ -34,7 +34,7 @@ DEPTH = 2
 CELL_BITS = 26
 BLOCK_BITS = 16
 #: Values or windows that a task gathers before it hands them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 _ROW_SALT = (0x0, 0x5851F42D4C957F2D)
 
 
@@ -167,9 +167,51 @@ def _runs(windows: np.ndarray) -> list[tuple[int, int, bytes]]:
     return [(int(doc[begin[a]]), int(text[begin[a]]), runs[a:b].tobytes()) for a, b in zip(at, np.r_[at[1:], len(begin)], strict=True)]
 
 
+_MARK = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("length", "<i4")])
+
+
+def _by_target(rows: list[tuple[int, int, bytes]], n: int) -> pa.RecordBatch:
+    """Marks of texts (doc, text, packed runs), one row for each of ``n`` targets that ids hash to."""
+    sizes = [len(r[2]) // 8 for r in rows]
+    marks = np.empty(sum(sizes), dtype=_MARK)
+    marks["doc"] = np.repeat(np.asarray([r[0] for r in rows], dtype=np.int64), sizes)
+    marks["text"] = np.repeat(np.asarray([r[1] for r in rows], dtype=np.int64), sizes)
+    runs = np.frombuffer(b"".join(r[2] for r in rows), dtype="<i4").reshape(-1, 2)
+    marks["start"], marks["length"] = runs[:, 0], runs[:, 1]
+    target = (mix(marks["doc"].astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    marks, target = marks[order], target[order]
+    edges = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True]) if len(target) else np.zeros(1, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(target[edges[:-1]], pa.int32()), pa.array([marks[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["target", "marks"])
+
+
+def _merged(parts: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
+    """(doc, text, packed runs) of each text with marks."""
+    marks = np.concatenate(parts)
+    marks = marks[np.lexsort((marks["start"], marks["text"], marks["doc"]))]
+    new = np.flatnonzero(np.r_[True, (marks["doc"][1:] != marks["doc"][:-1]) | (marks["text"][1:] != marks["text"][:-1])]) if len(marks) else np.zeros(0, np.int64)
+    runs = np.stack((marks["start"], marks["length"]), axis=1).astype("<i4")
+    return [(int(marks["doc"][a]), int(marks["text"][a]), runs[a:b].tobytes()) for a, b in zip(new, np.r_[new[1:], len(marks)], strict=True)]
+
+
 _FOUND = "bucket int, windows binary, doc_id long, text_hash long, runs binary"
 
 
+def _pack(windows: np.ndarray) -> bytes:
+    """Field after field, in the order of documents, which compresses well."""
+    windows = windows[np.lexsort((windows["place"], windows["doc"]))]
+    return b"".join(np.ascontiguousarray(windows[f]).tobytes() for f in _WINDOW.names)
+
+
+def _unpack(packed) -> np.ndarray:
+    n = len(packed) // _WINDOW.itemsize
+    out, at = np.empty(n, dtype=_WINDOW), 0
+    for f in _WINDOW.names:
+        out[f] = np.frombuffer(packed, dtype=_WINDOW[f], count=n, offset=at)
+        at += n * _WINDOW[f].itemsize
+    return out
+
+
 def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 5
     kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
@@ -177,7 +219,7 @@ def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def marked_runs(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """Runs of windows that occur earlier: doc_id, text_hash, runs (a list of packed [start, length])."""
+    """Runs of windows that occur earlier: doc_id, text_hash, runs (packed [start, length])."""
     spark = texts.sparkSession
     n = partitions(spark)
     bits = spark.sparkContext.broadcast(repeated_cells(texts, width, gram))
@@ -187,12 +229,12 @@ def marked_runs(texts: DataFrame, width: int, gram: int) -> DataFrame:
 
         def rows(parts):
             first, later = s.first_and_later(np.concatenate(parts))
-            out = [(None, None, *r) for r in s._runs(later)]
+            out = [(doc % n, None, doc, text, runs) for doc, text, runs in s._runs(later)]
             bucket = (s.mix(first["hash"]) % np.uint64(n)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             first, bucket = first[order], bucket[order]
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
-            out += [(int(bucket[a]), first[a:b].tobytes(), None, None, None) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            out += [(int(bucket[a]), s._pack(first[a:b]), None, None, None) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return s._found_batch(out)
 
         parts, gathered = [], 0
@@ -223,32 +265,56 @@ def marked_runs(texts: DataFrame, width: int, gram: int) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm import substrings as s
 
+        def later_than_first(parts):
+            return s._by_target([(doc, text, runs) for doc, text, runs in s._runs(s.first_and_later(np.concatenate(parts))[1])], n)
+
         bucket, parts = None, []
         for batch in batches:
-            for b, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(ready := batch.filter(batch.column(1).is_null())):
+                yield s._by_target(list(zip(*(c.to_pylist() for c in ready.columns[2:]), strict=True)), n)
+            windows = batch.column(1)
+            for i, b in enumerate(batch.column(0).to_pylist()):
                 if b != bucket and parts:
-                    yield s._found_batch([(None, None, *r) for r in s._runs(s.first_and_later(np.concatenate(parts))[1])])
+                    yield later_than_first(parts)
                     parts = []
                 bucket = b
-                parts.append(np.frombuffer(windows, dtype=s._WINDOW))
+                if windows[i].is_valid:
+                    parts.append(s._unpack(windows[i].as_buffer()))
+        if parts:
+            yield later_than_first(parts)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from factloom.llm import substrings as s
+
+        def texts_of(parts):
+            rows = s._merged(parts)
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "text_hash", "runs"])
+
+        target, parts = None, []
+        for batch in batches:
+            for t, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if t != target and parts:
+                    yield texts_of(parts)
+                    parts = []
+                target = t
+                parts.append(np.frombuffer(marks, dtype=s._MARK))
         if parts:
-            yield s._found_batch([(None, None, *r) for r in s._runs(s.first_and_later(np.concatenate(parts))[1])])
+            yield texts_of(parts)
 
-    found = written(spark, texts.mapInArrow(find, _FOUND), "windows")
-    by_hash = found.where("bucket is not null").select("bucket", "windows").repartition(n, "bucket").sortWithinPartitions("bucket")
-    later = by_hash.mapInArrow(settle, _FOUND)
-    both = found.where("bucket is null").select("doc_id", "text_hash", "runs").unionByName(later.select("doc_id", "text_hash", "runs"))
-    return both.groupBy("doc_id", "text_hash").agg(F.collect_list("runs").alias("runs"))
+    found = texts.mapInArrow(find, _FOUND).repartition(n, "bucket").sortWithinPartitions("bucket")
+    marks = found.mapInArrow(settle, "target int, marks binary").repartition(n, "target").sortWithinPartitions("target")
+    return marks.mapInArrow(gather, "doc_id long, text_hash long, runs binary")
 
 
-def kept_words(data: np.ndarray, offsets: np.ndarray, runs: list[list[bytes] | None], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def kept_words(data: np.ndarray, offsets: np.ndarray, runs: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(words, words removed, kept words joined by one space) of each row."""
     words = Words(data, offsets)
     n = len(words.starts)
     steps = np.zeros(n + 1, dtype=np.int64)
     for row, packed in enumerate(runs):
         if packed:
-            run = np.frombuffer(b"".join(packed), dtype="<i4").reshape(-1, 2).astype(np.int64)
+            run = np.frombuffer(packed, dtype="<i4").reshape(-1, 2).astype(np.int64)
             a = words.first_word[row] + run[:, 0]
             np.add.at(steps, a, 1)
             np.add.at(steps, a + run[:, 1] - 1 + width, -1)
@@ -279,7 +345,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = GRAM, keep: tup
     A window that occurs anywhere else is never missed: the sketch only overestimates.
     Its size is fixed; on a corpus that fills it, more windows reach the exact pass,
     which is bounded by the shuffle, not by memory.  A task hands on one occurrence of
-    a window for each two million candidates, so a passage that fills a third of the corpus
+    a window for each million candidates, so a passage that fills a third of the corpus
     doesn't gather in one place.
 
     A null or empty text has no words.  Texts under ``width`` words lose nothing.  Rows

@@ -23,7 +23,7 @@ _WORD_BASE_2 = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
 
 #: Bytes of text handled by one kernel call; the numpy temporaries need about 60 bytes for each.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
