@@ -87,17 +87,20 @@ class Rule:
     good: str
 
 
-#: The rules; all of them abstain on a text without words.
+#: The rules; all of them abstain on a text without words.  Each has one kind of junk in
+#: mind, so its junk vote is set where ordinary prose hardly ever comes.
 RULES = (
-    Rule("length", "n_words < 30", "n_words >= 80"),
-    Rule("word_size", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    Rule("lines", "10 * n_dup_lines > 3 * n_lines", "n_lines >= 3 and n_dup_lines = 0"),
-    Rule("repeats", "10 * n_repeat_words > 3 * n_words", "20 * n_repeat_words <= n_words"),
-    Rule("capitals", "10 * n_upper > 3 * word_chars", "10 * n_upper <= word_chars"),
-    Rule("shouting", "10 * n_exclaim > n_words", "50 * n_exclaim <= n_words"),
-    Rule("stops", "50 * n_stops < n_words", "20 * n_stops >= n_words"),
+    Rule("length", "n_words < 20", "n_words >= 80"),
+    Rule("word_size", "word_chars < 2 * n_words or word_chars > 16 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
+    Rule("symbols", "20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    Rule("lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines", "n_lines >= 3 and n_dup_lines = 0"),
+    Rule("repeats", "10 * n_repeat_words > 4 * n_words", "20 * n_repeat_words <= n_words"),
+    Rule("capitals", "5 * n_upper > word_chars and n_words >= 20", "10 * n_upper <= word_chars"),
+    Rule("shouting", "10 * n_exclaim > n_words", "100 * n_exclaim <= n_words"),
+    Rule("stops", "100 * n_stops < n_words", "20 * n_stops >= n_words"),
 )
+#: A rule's junk votes may be wrong on this share of the good texts at most.
+FALSE_ALARMS = 0.002
 
 
 def vote(rule: Rule) -> Column:
@@ -109,13 +112,13 @@ class VoteModel:
     """What expectation-maximisation estimates: the share of good texts and each rule's votes in both classes."""
 
     prior: float
-    #: given[class][rule][vote]: probability of the vote (-1, 0, 1) in the class (0 junk, 1 good).
+    #: given[class][rule][vote]: probability of the vote (-1 or 1) in the class (0 junk, 1 good), given that the rule doesn't abstain.
     given: tuple[list[dict[int, float]], list[dict[int, float]]]
 
     def weights(self) -> tuple[float, list[dict[int, float]]]:
-        """Log odds of good: the prior's, and what each vote adds."""
+        """Log odds of good: the prior's, and what each vote adds; an abstention adds nothing."""
         junk, good = self.given
-        return math.log(self.prior / (1 - self.prior)), [{v: math.log(g[v] / j[v]) for v in (-1, 0, 1)} for j, g in zip(junk, good, strict=True)]
+        return math.log(self.prior / (1 - self.prior)), [{0: 0.0} | {v: math.log(g[v] / j[v]) for v in (-1, 1)} for j, g in zip(junk, good, strict=True)]
 
     def posterior(self, votes: tuple[int, ...]) -> float:
         start, weights = self.weights()
@@ -123,30 +126,33 @@ class VoteModel:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
-def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, smoothing: float = 1.0) -> VoteModel:
+def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, smoothing: float = 1.0, false_alarms: float = FALSE_ALARMS) -> VoteModel:
     """Expectation-maximisation over the counts of vote combinations.
 
-    It starts from the votes' majority with any junk vote counting most, adds
-    ``smoothing`` to every count, and keeps each rule better than chance: a junk vote
-    may not be likelier among good texts, nor a good vote among junk.
+    Junk comes in kinds that a single rule sees and all others take for prose, so
+    votes alone can't tell a rule that finds such a kind from one that errs.  What the
+    estimate is given is ``false_alarms``, the greatest share of good texts on which a
+    rule may vote junk; within it, shares of votes and of good texts are estimated.
+    ``smoothing`` is added to every count, and no rule may do worse than chance.
     """
-    model = VoteModel(0.8, ([{-1: 0.5, 0: 0.3, 1: 0.2}] * rules, [{-1: 0.02, 0: 0.3, 1: 0.68}] * rules))
+    model = VoteModel(0.8, ([{-1: 0.25, 1: 0.75}] * rules, [{-1: min(false_alarms, 0.05), 1: 1 - min(false_alarms, 0.05)}] * rules))
     total = sum(patterns.values())
     if not total:
         return model
     for _ in range(rounds):
         mass = [0.0, 0.0]
-        counts = [[dict.fromkeys((-1, 0, 1), smoothing) for _ in range(rules)] for _ in (0, 1)]
+        counts = [[dict.fromkeys((-1, 1), smoothing) for _ in range(rules)] for _ in (0, 1)]
         for votes, n in patterns.items():
             p = model.posterior(votes)
             for c, share in ((0, n * (1 - p)), (1, n * p)):
                 mass[c] += share
                 for r, v in enumerate(votes):
-                    counts[c][r][v] += share
+                    if v:
+                        counts[c][r][v] += share
         given = tuple([{v: n / sum(d.values()) for v, n in d.items()} for d in counts[c]] for c in (0, 1))
         for j, g in zip(*given, strict=True):
-            g[-1] = min(g[-1], j[-1])
-            j[1] = min(j[1], g[1])
+            g[-1] = min(g[-1], j[-1], false_alarms)
+            g[1] = 1 - g[-1]
         prior = min(max((mass[1] + smoothing) / (total + 2 * smoothing), 0.01), 0.99)
         moved = abs(prior - model.prior)
         model = VoteModel(prior, given)
