@@ -207,3 +207,57 @@ class Registry:
         if self.spark is not None:
             self.spark.interruptTag(f"run-{run_id}")
         return True
+
+
+class PersistentSpend:
+    """Calls, tokens and cost per model in a JSON file, written beside and renamed; an unreadable file counts as empty."""
+
+    def __init__(self, path: str):
+        self.path = path
+        try:
+            with open(path) as f:
+                self.models = {str(k): dict(v) for k, v in json.load(f).items()}
+        except (OSError, ValueError, AttributeError, TypeError):
+            self.models = {}
+
+    def record(self, model: str, tokens_in: int, tokens_out: int, cost: float, at: float) -> None:
+        row = self.models.setdefault(model, {"calls": 0, "tokens_in": 0, "tokens_out": 0, "cost": 0.0, "first": at})
+        row["calls"] += 1
+        row["tokens_in"] += tokens_in
+        row["tokens_out"] += tokens_out
+        row["cost"] += cost
+        row["last"] = at
+        import os
+
+        with open(f"{self.path}.tmp", "w") as f:
+            json.dump(self.models, f, sort_keys=True)
+        os.replace(f"{self.path}.tmp", self.path)
+
+    @property
+    def total(self) -> float:
+        return sum(m["cost"] for m in self.models.values())
+
+
+def with_timeout(spark, seconds: float, action: Callable[[], object]) -> object:
+    """Run a Spark action; its jobs are cancelled when the time is over (TimeoutError)."""
+    import threading
+    import uuid
+
+    context, group, over = spark.sparkContext, f"timeout-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        over.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "bounded", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action()
+    except Exception as error:
+        if over.is_set():
+            raise TimeoutError(f"stopped after {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)

@@ -138,3 +138,41 @@ def heading(line: Column) -> Column:
         .when(bare.rlike(clause), made("clause", F.lit(4), bare, part(clause, 1)))
         .when(bare.rlike(capitals) & bare.rlike("[A-Z]{2,}"), made("capitals", F.lit(3), bare, none))
     )
+
+
+def normalise_page(text: str | None) -> str | None:
+    """Compatibility form without soft hyphens, single spaces, at most one empty line in a row."""
+    if text is None:
+        return None
+    plain = unicodedata.normalize("NFKC", text).replace("\u00ad", "")
+    plain = re.sub(r"[ \t]+", " ", plain)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", plain)).strip()
+
+
+@F.pandas_udf(T.StringType())
+def normalised_page(texts: pd.Series) -> pd.Series:
+    return texts.map(normalise_page, na_action="ignore")
+
+
+def unmerged_clauses(text: Column) -> Column:
+    """A line break before a decimal clause that stands after the end of a sentence."""
+    return F.regexp_replace(text, r"(?<=[.;:])[ \t]+(?=[0-9]+(?:\.[0-9]+)+\.?[ \t]+[A-Z])", "\n")
+
+
+def rendered_table(cells: Column) -> Column:
+    """Rows of cells (array of arrays of texts) as lines with bars; blank rows and columns go, under two rows nothing is left."""
+    filled = F.filter(F.transform(cells, lambda r: F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit(""))))), lambda r: F.exists(r, lambda c: c != ""))
+    width = F.array_max(F.transform(filled, F.size))
+    used = F.filter(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), lambda i: F.exists(filled, lambda r: F.coalesce(F.get(r, i), F.lit("")) != ""))
+    lines = F.transform(filled, lambda r: F.array_join(F.transform(used, lambda i: F.coalesce(F.get(r, i), F.lit(""))), " | "))
+    return F.when(F.size(filled) < 2, F.lit("")).otherwise(F.array_join(lines, "\n"))
+
+
+UNREADABLE = "[page could not be read]"
+
+
+def scanned_page_text(text: Column, confidence: Column) -> tuple[Column, Column]:
+    """(text, confidence) of a recognised page: lines without letters or digits go; a page without text is marked and has confidence 0."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.rlike("[\\p{L}\\p{N}]"))
+    blank = F.size(lines) == 0
+    return F.when(blank, UNREADABLE).otherwise(F.array_join(lines, "\n")), F.when(blank, 0.0).otherwise(confidence)

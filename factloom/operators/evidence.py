@@ -97,3 +97,39 @@ def cite(kind: Column, fields: Mapping[str, Column]) -> Column:
         .when(kind == "scanned", F.concat_ws(sep, f["document"], page, ocr))
         .otherwise(F.concat_ws(sep, f["document"], page, f["section"]))
     )
+
+
+def footer(answers: DataFrame, known: DataFrame, key: str = "conv_id", text: str = "text") -> DataFrame:
+    """Lines '[E1] citation' of the evidence that each answer cites, in the order of ids: key, footer.
+
+    ``known`` has key, evidence_id and citation.
+    """
+    cited = answers.select(key, F.explode(citations(F.col(text))).alias("evidence_id")).distinct()
+    number = F.substring("evidence_id", 2, 20).cast("long")
+    lines = cited.join(known.select(key, "evidence_id", "citation"), [key, "evidence_id"]).withColumn("line", F.struct(number.alias("n"), F.concat(F.lit("["), F.col("evidence_id"), F.lit("] "), F.col("citation")).alias("t")))
+    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_set("line")), lambda x: x["t"]), "\n").alias("footer"))
+
+
+def rendered(numbered: DataFrame, floor: float = LOW_CONFIDENCE) -> DataFrame:
+    """One text per source of its numbered evidence, weak evidence marked: source_type, text."""
+    mark = F.when(F.col("confidence") < floor, F.lit(" \u26a0 low confidence")).otherwise(F.lit(""))
+    line = F.struct(F.substring("evidence_id", 2, 20).cast("long").alias("n"), F.concat(F.lit("["), F.col("evidence_id"), F.lit("] "), F.col("content"), mark).alias("t"))
+    return numbered.groupBy("source_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("text"))
+
+
+#: A step over a sheet cites its rows if it has this many at most, else one summary.
+CITED_ROWS = 25
+
+
+def sheet_evidence(rows: DataFrame, step: str = "step") -> DataFrame:
+    """Evidence of steps over sheets: step, locator, row_count.
+
+    ``rows`` has step, _workbook, _sheet and _a1_range (null where lineage is lost).  A
+    step whose rows all have lineage and are few is cited row by row, another one by one
+    summary without a range.
+    """
+    sizes = rows.groupBy(step).agg(F.count("*").alias("row_count"), F.count("_a1_range").alias("placed"), F.min("_workbook").alias("_workbook"), F.min("_sheet").alias("_sheet"))
+    each = (F.col("placed") == F.col("row_count")) & (F.col("row_count") <= CITED_ROWS)
+    single = rows.join(sizes.where(each).select(step), step, "left_semi").select(step, F.concat_ws("!", "_workbook", "_sheet", "_a1_range").alias("locator"), F.lit(1).cast("long").alias("row_count"))
+    summary = sizes.where(~each).select(step, F.concat_ws("!", "_workbook", "_sheet").alias("locator"), "row_count")
+    return single.unionByName(summary)

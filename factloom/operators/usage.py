@@ -54,3 +54,26 @@ def varied_fields(runs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
 def ndjson(rows: DataFrame) -> DataFrame:
     """One JSON text per row, in the column value."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def deltas(states: DataFrame, key: str, order: str, total: str) -> DataFrame:
+    """Adds delta: what each state of an accumulating run adds to the one before it."""
+    before = F.lag(total, 1, 0).over(Window.partitionBy(key).orderBy(order))
+    return states.withColumn("delta", F.col(total) - before)
+
+
+def first_spellings(mentions: DataFrame, value: str, order: str) -> DataFrame:
+    """One row per mention whatever its case, in its first spelling: value, n."""
+    return mentions.groupBy(F.lower(value).alias("k")).agg(F.min_by(value, order).alias(value), F.count("*").alias("n")).drop("k")
+
+
+def answer_clusters(answers: DataFrame, candidate: str, question: str, row_columns: Sequence[str]) -> DataFrame:
+    """Groups of candidates with equal answers: question, answer_key, candidates, shortest.
+
+    ``answers`` has one row per candidate and result row; an answer is its rows whatever
+    their order, so its key combines the hashes of its rows, and no answer is gathered.
+    """
+    row = F.xxhash64(*[F.col(c).cast("string") for c in row_columns]).cast("decimal(38,0)")
+    other = F.hash(*[F.col(c).cast("string") for c in row_columns]).cast("decimal(38,0)")
+    keys = answers.groupBy(question, candidate).agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(row).cast("string"), F.sum(other).cast("string")).alias("answer_key"))
+    return keys.groupBy(question, "answer_key").agg(F.count("*").alias("candidates"), F.min_by(candidate, F.struct(F.length(candidate), candidate)).alias("shortest"))

@@ -262,3 +262,71 @@ def coerce_values(spark: SparkSession, d: str) -> DataFrame:
         "event_id", "raw", number.cast("double").alias("number"), (number.isNotNull() | cell_values.is_blank(F.col("raw"))).alias("number_ok"),
         F.round(share.cast("double"), 6).alias("share"), cell_values.date(F.col("raw")).cast("string").alias("day"), cell_values.boolean(F.when(k == 6, F.col("raw"))).alias("flag"),
     )
+
+
+@query(f"""with l as (select *, (line_no - 1) // 6 as page from ({_LINES})), s as (select *, {_SIGNATURE} as signature, row_number() over (partition by doc_id, page order by line_no) as t, row_number() over (partition by doc_id, page order by line_no desc) as e from l),
+    p as (select doc_id, page, signature, line, unnest(list_filter([case when t <= 2 then t - 1 end, case when e <= 2 then -e end], lambda x: x is not null)) as slot from s)
+    select doc_id, signature from p group by 1, 2 having count(distinct slot) = 1 and count(distinct page) >= 3 and count(distinct line) = count(distinct page)""")
+def page_stamps(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.page_stamps(document_lines(spark, d), 2)
+
+
+@query("""select page_id, case when page_id % 9 = 0 then 0.0 when page_id % 10 = 0 then 1.0 else page_id % 10 / 10.0::double end as confidence,
+    case when page_id % 7 = 0 then '[page could not be read]' else 'x' end as kind from pages where case when page_id % 9 = 0 then 0.0 when page_id % 10 = 0 then 1.0 else page_id % 10 / 10.0::double end < 0.6""")
+def low_confidence_pages(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id")
+    score = F.when(k % 9 == 0, F.lit(float("nan"))).otherwise((k % 10) / 10.0)
+    text_of, _ = text.scanned_page_text(F.when(k % 7 == 0, " \n-- \n").otherwise("x\n--"), F.lit(1.0))
+    pages = table(spark, d, "pages").select("page_id", text.page_confidence(k % 10 == 0, F.when((k % 10 == 0) & (k % 9 == 0), F.lit(None)).otherwise(score)).alias("c"), text_of.alias("kind"))
+    return pages.select("page_id", F.when(k % 9 == 0, 0.0).otherwise(F.col("c")).alias("confidence"), "kind").where("confidence < 0.6")
+
+
+@query("""with s as (select user_id, event_id, count(*) over (partition by user_id order by ts, event_id) as total from events) select event_id, total, cast(1 as bigint) as delta from s""")
+def state_deltas(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.operators import usage
+
+    running = F.count("*").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    states = table(spark, d, "events").select("user_id", "event_id", running.alias("total"))
+    return usage.deltas(states, "user_id", "total", "total").select("event_id", "total", "delta")
+
+
+@query("""with m as (select case when user_id % 2 = 0 then upper(event_type) else event_type end as value, event_id from events) select arg_min(value, event_id) as value, count(*) as n from m group by lower(value)""")
+def first_spellings(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.operators import usage
+
+    rows = table(spark, d, "events").select(F.when(F.col("user_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("value"), "event_id")
+    return usage.first_spellings(rows, "value", "event_id")
+
+
+@query("""with a as (select 'q' || (o_custkey % 50) as question, c as candidate, o_orderpriority, case when c = 'cand_c' and o_custkey % 3 = 0 then 'x' else o_orderstatus end as status from orders, (select unnest(['cand_a', 'b', 'cand_c']) as c)),
+    k as (select question, candidate, string_agg(o_orderpriority || '|' || status, ',' order by o_orderpriority, status) as answer from a group by 1, 2)
+    select question, count(*) as candidates, arg_min(candidate, length(candidate)) as shortest from k group by question, answer""")
+def answer_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.operators import usage
+
+    base = table(spark, d, "orders").select(F.concat(F.lit("q"), (F.col("o_custkey") % 50).cast("string")).alias("question"), "o_custkey", "o_orderpriority", "o_orderstatus", F.explode(F.array(F.lit("cand_a"), F.lit("b"), F.lit("cand_c"))).alias("candidate"))
+    changed = base.withColumn("status", F.when((F.col("candidate") == "cand_c") & (F.col("o_custkey") % 3 == 0), "x").otherwise(F.col("o_orderstatus")))
+    return usage.answer_clusters(changed, "candidate", "question", ["o_orderpriority", "status"]).select("question", "candidates", "shortest")
+
+
+@query("""with r as (select o_custkey as step, 'book' as w, 'sheet' as s, case when o_custkey % 4 = 0 and o_orderkey % 5 = 0 then null else 'A' || o_orderkey || ':D' || o_orderkey end as a from orders where o_custkey % 3 = 0),
+    z as (select step, count(*) as n, count(a) as placed from r group by 1)
+    select r.step, 'book!sheet!' || a as locator, cast(1 as bigint) as row_count from r join z using (step) where n = placed and n <= 25 union all select step, 'book!sheet', n from z where not (n = placed and n <= 25)""")
+def sheet_evidence(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    rows = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("step"), F.lit("book").alias("_workbook"), F.lit("sheet").alias("_sheet"), F.when(~((F.col("o_custkey") % 4 == 0) & (F.col("o_orderkey") % 5 == 0)), F.concat(F.lit("A"), key, F.lit(":D"), key)).alias("_a1_range"))
+    return evidence.sheet_evidence(rows)
+
+
+@query(f"""with c as (select distinct conv_id, unnest({_CITED}) as evidence_id from conversations), k as (select distinct conv_id, 'E' || turn as evidence_id, 'turn ' || turn as citation, turn from conversations)
+    select conv_id, string_agg('[' || evidence_id || '] ' || citation, chr(10) order by turn) as footer from c join k using (conv_id, evidence_id) group by 1""")
+def citation_footer(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("turn").cast("string")
+    known = table(spark, d, "conversations").select("conv_id", F.concat(F.lit("E"), turn).alias("evidence_id"), F.concat(F.lit("turn "), turn).alias("citation"))
+    return evidence.footer(marked(spark, d), known)
+
+
+@query("""select doc_id, len(string_split(regexp_replace(coalesce(text, ''), '([.;:])[ \\t]+([0-9]+(\\.[0-9]+)+\\.?[ \\t]+[A-Z])', '\\1' || chr(10) || '\\2', 'g'), chr(10))) as n_lines from (select doc_id, regexp_replace(coalesce(text, ''), '\\. ', '. 4.' || (doc_id % 7) || ' A ', 'g') as text from documents)""")
+def unmerged_clauses(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), F.lit("\\. "), F.concat(F.lit(". 4."), (F.col("doc_id") % 7).cast("string"), F.lit(" A "))).alias("text"))
+    return docs.select("doc_id", F.size(F.split(text.unmerged_clauses(F.col("text")), "\n")).cast("long").alias("n_lines"))

@@ -206,3 +206,87 @@ def test_protocols():
         protocols.checked_route(["a", "a"], ["a"], 0.5, False)
     with pytest.raises(ValueError):
         protocols.checked_plan({"a": "x"}, ["b"])
+
+
+def test_contexts(spark, tmp_path):
+    import json
+
+    from factloom.plans import contexts
+
+    write = lambda name, **raw: (tmp_path / f"{name}.json").write_text(json.dumps(raw))
+    write("claims", table="ops.claims", columns=["claim_id", "policy_id", "paid"], joins=[{"column": "policy_id", "table": "ops.policies", "to": "policy_id"}], invariants=[{"kind": "non_negative", "columns": ["paid"]}])
+    with pytest.raises(contexts.ContextError, match="isn't described"):
+        contexts.load_contexts(str(tmp_path))
+    write("policies", table="ops.policies", columns=["policy_id"])
+    found = contexts.load_contexts(str(tmp_path))
+    assert contexts.join_pairs(found) == [("ops.claims", "ops.policies")] and found["ops.claims"].checks()[0].columns == ("paid",)
+    df = spark.createDataFrame([(1, 2, 3, 4)], "claim_id int, policy_id int, paid int, extra int")
+    assert contexts.refreshed(found["ops.claims"], df).columns[-1] == "extra"
+    with pytest.raises(contexts.ContextError, match="lost"):
+        contexts.refresh_all(found, {"ops.claims": df.drop("paid"), "ops.policies": df})
+    write("again", table="ops.policies", columns=["policy_id"])
+    with pytest.raises(contexts.ContextError, match="twice"):
+        contexts.load_contexts(str(tmp_path))
+    (tmp_path / "sources.json").write_text(json.dumps([{"name": "sql", "description": "d"}]))
+    assert contexts.load_capabilities(str(tmp_path / "sources.json"))[0]["name"] == "sql"
+    (tmp_path / "sources.json").write_text(json.dumps([{"name": "sql", "odd": 1}]))
+    with pytest.raises(contexts.ContextError):
+        contexts.load_capabilities(str(tmp_path / "sources.json"))
+
+
+def test_documents(spark, tmp_path):
+    from factloom.sources import documents
+
+    (tmp_path / "docs" / "deep").mkdir(parents=True)
+    (tmp_path / "docs" / "a.txt").write_bytes(b"plain \xff text")
+    (tmp_path / "docs" / "deep" / "b.md").write_text("# head")
+    (tmp_path / "docs" / "c.bin").write_text("no")
+    files = documents.document_files(spark, str(tmp_path / "docs")).orderBy("path").collect()
+    assert [f.text for f in files] == ["plain � text", "# head"]
+    assert documents.corpus_manifest(documents.document_files(spark, str(tmp_path / "docs")), "policy").count() == 2
+
+    store = documents.ChunkStore(spark, str(tmp_path / "store"))
+    with pytest.raises(LookupError):
+        store.chunks()
+    schema = "id string, doc_id string, source_type string, text string"
+    rows = [("a:0", "a", "policy", "water leak"), ("a:1", "a", "policy", "fire"), ("b:0", "b", "scanned", "water")]
+    vectors = spark.createDataFrame([(r[0], [1.0, 0.0]) for r in rows], "id string, embedding array<double>")
+    store.add(spark.createDataFrame(rows, schema), vectors)
+    assert {r.doc_id: r.n_chunks for r in store.counts().collect()} == {"a": 2, "b": 1}
+    with pytest.raises(FileNotFoundError):
+        store.load_index()
+    assert store.healed_index()[0].where("term = 'water'").count() == 2
+    store.add(spark.createDataFrame([("a:0", "a", "policy", "storm")], schema), vectors)
+    assert sorted(r.id for r in store.chunks().collect()) == ["a:0", "b:0"] and store.chunks({"doc_id": "b"}).count() == 1
+    with pytest.raises(documents.CorruptIndex):
+        store.load_index()
+    assert store.healed_index()[0].where("term = 'storm'").count() == 1
+    with pytest.raises(Exception, match="no embedding"):
+        store.add(spark.createDataFrame([("z:0", "z", "policy", "x")], schema), vectors)
+    store.delete(spark.createDataFrame([("b",)], "doc_id string"))
+    assert [r.id for r in store.by_ids(spark.createDataFrame([("a:0",), ("b:0",)], "id string")).collect()] == ["a:0"]
+
+
+def test_spend(spark, tmp_path):
+    path = str(tmp_path / "spend.json")
+    spend = runs.PersistentSpend(path)
+    spend.record("m", 10, 5, 0.25, 1.0)
+    assert runs.PersistentSpend(path).total == 0.25
+    (tmp_path / "spend.json").write_text("{broken")
+    assert runs.PersistentSpend(path).total == 0
+    assert runs.with_timeout(spark, 30, lambda: spark.range(10).count()) == 10
+    with pytest.raises(TimeoutError):
+        runs.with_timeout(spark, 1, lambda: spark.range(1 << 40).selectExpr("sum(sqrt(id) * sqrt(id + 1))").collect())
+
+
+def test_page_texts(spark):
+    from factloom.functions import text
+
+    assert text.normalise_page("ﬁre­  x \n\n\n\n y ") == "fire x\n\ny"
+    table = spark.createDataFrame([([["a", "", "b"], ["", None, ""], ["c", " ", "d"]],), ([["only", "row"]],)], "t array<array<string>>")
+    assert [r.x for r in table.select(text.rendered_table(F.col("t")).alias("x")).collect()] == ["a | b\nc | d", ""]
+    pages = spark.createDataFrame([("--\n ok \n***",), ("--",), (None,)], "t string")
+    got = pages.select(*[c.alias(n) for c, n in zip(text.scanned_page_text(F.col("t"), F.lit(0.9)), ("t", "c"), strict=True)]).collect()
+    assert [(r.t, r.c) for r in got] == [("ok", 0.9), (text.UNREADABLE, 0.0), (text.UNREADABLE, 0.0)]
+    ids = spark.createDataFrame([("sql", "E2", "x", 0.2), ("sql", "E10", "y", 1.0)], "source_type string, evidence_id string, content string, confidence double")
+    assert evidence.rendered(ids).first().text == "[E2] x ⚠ low confidence\n[E10] y"
