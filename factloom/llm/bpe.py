@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factloom.llm.common import doc_out, id_and_text, ship
+from factloom.llm.memo import Memo
 
-#: Remembered pre-tokens and compatible pairs per process; emptied when full.
-MEMO_ENTRIES = 300_000
-MEMO_PAIRS = 1_000_000
-MEMO_CHARS = 64
+#: Pre-tokens remembered per process, in each of two generations.
+MEMO_ENTRIES = 200_000
+#: Compatible pairs remembered per process; emptied when full.
+MEMO_PAIRS = 500_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -59,7 +60,8 @@ class BytePairCodec:
         self._compatible: dict[tuple[int, int], bool] = {}
         self._learn_merges()
         self._compatible.clear()
-        self._memo: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: piece -> (ids, ids as decimal text)
+        self.pieces = Memo(self._piece, MEMO_ENTRIES)
 
     def _longest_proper_prefix(self, token: bytes) -> int:
         for end in range(len(token) - 1, 0, -1):
@@ -138,17 +140,9 @@ class BytePairCodec:
                 raise ValueError("the ranks lack a byte of the text")
         return out
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        """(ids, ids as decimal text) of a pre-token."""
-        found = self._memo.get(piece)
-        if found is None:
-            ids = tuple(self.encode_piece(piece.encode("utf-8")))
-            found = ids, ",".join(map(str, ids))
-            if len(piece) <= MEMO_CHARS:
-                if len(self._memo) >= MEMO_ENTRIES:
-                    self._memo.clear()
-                self._memo[piece] = found
-        return found
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        ids = tuple(self.encode_piece(piece.encode("utf-8")))
+        return ids, ",".join(map(str, ids))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -181,8 +175,7 @@ def encode_text(text: str, path: str, pattern: str) -> tuple[list[int], str]:
     if UNSAFE.search(text):
         ids = _library(path, pattern).encode_ordinary(text)
         return ids, ",".join(map(str, ids))
-    piece = codec(path).piece
-    found = [piece(p) for p in regex.findall(pattern, text)]
+    found = list(map(codec(path).pieces.__getitem__, regex.findall(pattern, text)))
     return [i for ids, _ in found for i in ids], ",".join([s for _, s in found])
 
 

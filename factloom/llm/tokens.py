@@ -16,27 +16,23 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Pre-tokens remembered per process; the memory is emptied when it is full.
-MEMO_ENTRIES = 400_000
-#: Longer pre-tokens are not remembered.
-MEMO_CHARS = 64
+from factloom.llm.memo import Memo
+
+#: Pre-tokens remembered per process, in each of two generations.
+MEMO_ENTRIES = 300_000
 #: Outside these code points the libraries' Unicode tables differ in age; such
 #: texts go through the library whole.
 UNSAFE = regex.compile("[^\u0000-՗ -₎ぁ-ゖァ-ヺ一-龥가-힣]")
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+def _byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 
-    def __missing__(self, piece):
-        value = self.make(piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = value
-        return value
+BYTE_CHARACTERS = _byte_characters()
 
 
 class PreTokenEncoder:
@@ -47,12 +43,17 @@ class PreTokenEncoder:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.ids_of = _Memo(lambda piece: array("I", self.library(piece)).tobytes())
-        self.count_of = _Memo(lambda piece: len(self.library(piece)))
+        self.model = self.tokenizer.model
+        self.ids_of = Memo(lambda piece: array("I", [t.id for t in self.pieces(piece)]).tobytes(), MEMO_ENTRIES)
+        self.count_of = Memo(lambda piece: len(self.pieces(piece)), MEMO_ENTRIES)
 
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def pieces(self, pre_token: str) -> list:
+        """The library's tokens of one pre-token: its BPE model alone, as the text is split already."""
+        return self.model.tokenize(pre_token.encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS))
+
     def _segments(self, text: str) -> list[str]:
         """The text cut around special strings, which stand at odd places."""
         if self.split_special is None or not any(s in text for s in self.special):

@@ -102,8 +102,9 @@ def test_memo_is_bounded():
     from factloom.llm.memo import Memo
 
     memo = Memo(str.upper, 3, 2)
-    assert [memo[k] for k in "abcabcdefg"] == list("ABCABCDEFG") and len(memo) <= 3 and len(memo.old) <= 3
-    assert memo["xyz"] == "XYZ" and "xyz" not in memo
+    assert [memo[k] for k in "abcabcdefgdefgaa"] == list("ABCABCDEFGDEFGAA") and len(memo) <= 3 and 0 < len(memo.old) <= 3
+    assert [memo["xyz"]] * 3 == ["XYZ"] * 3 and "xyz" not in memo
+    assert Memo(str.upper, 3)["q"] == "Q"
 
 
 def test_pack(docs, pairs):
@@ -304,6 +305,7 @@ def test_components(docs, pairs, k, percent, leaf, frequent, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "FEW", leaf // 8)
     got = Counter(tuple(r) for r in jaccard.similar_components(docs, k, percent).collect())
     assert got == brute_components(pairs, k, percent)
 
