@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import doc_out, id_and_text, partitions, scratch, ship, written
 
 MAGIC = b"FLPFOR01"
-LANES = 16
+LANES = 32
 ROWS = 32
 BLOCK = LANES * ROWS
 PERCENTILE = 95
