@@ -18,24 +18,28 @@ from factloom.llm.quality import judge
 from factloom.llm.substrings import remove_repeats
 
 
+def whole_rows(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the row as one column, so that no name of a table can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the weighed votes reject go."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return judge(docs, keep=others).where("kept").select(*docs.columns)
+    return judge(whole_rows(docs), keep=("_row",)).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, 0.8) the document of the smallest id stays."""
     found = similar_components(docs, 5, 80)
     later = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("later_id")).distinct()
-    return docs.join(later, F.col("doc_id").eqNullSafe(F.col("later_id")), "left_anti").select(*docs.columns)
+    return docs.join(later, docs["doc_id"].eqNullSafe(later["later_id"]), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 20 words that occur earlier go; a text that keeps no word stays as an empty one."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = remove_repeats(docs, 20, keep=others).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    kept = remove_repeats(whole_rows(docs, ("text", "n_chars")), 20, keep=("_row",))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,9 +63,7 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     t, w = F.col("_text"), F.col("_words")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SEPARATORS)) != "")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
-    return base.select(
-        "doc_id",
-        *keep,
+    figures = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
@@ -76,6 +74,7 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         count("!").alias("n_exclaim"),
         count("[.?!;:,\\u3002\\uff01\\uff1f]").alias("n_stops"),
     )
+    return base.select("doc_id", *keep, F.inline(F.array(figures)))  # a generator: what reads the figures can't compute them again
 
 
 @dataclass(frozen=True)
@@ -166,8 +165,10 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = (), threshold: float = 0.5, r
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, quality (the posterior), the votes, and the columns in
-    ``keep``.  The figures are computed once and written to the shared folder; there
-    is no shuffle but that of the vote counts.  ``kept`` is false where base_failed
+    ``keep``.  The only shuffle is that of the vote counts.  The figures are written to
+    the shared folder and read again for the verdict; if columns are kept, which may
+    be the texts, they are computed again instead, as that needs no copy of the
+    texts.  ``kept`` is false where base_failed
     (n_words < 50, or more than half of the words in repeated windows), else whether
     the posterior reaches ``threshold``.
 
@@ -175,10 +176,11 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = (), threshold: float = 0.5, r
     null ids come back as null.  No documents: no rows.
     """
     spark = docs.sparkSession
-    figures = written(spark, features(docs, keep), "quality")
     votes = [f"v_{r.name}" for r in rules]
-    voted = figures.select("*", *[vote(r) for r in rules])
-    patterns = {tuple(r[v] for v in votes): r["n"] for r in voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()}
+    with_votes = lambda figures: figures.select("*", *[vote(r) for r in rules])
+    voted = with_votes(features(docs, keep) if keep else written(spark, features(docs), "quality"))
+    counted = with_votes(features(docs)) if keep else voted
+    patterns = {tuple(r[v] for v in votes): r["n"] for r in counted.groupBy(*votes).agg(F.count("*").alias("n")).collect()}
     start, weights = fit(patterns, len(rules)).weights()
     odds = F.lit(start)
     for name, weight in zip(votes, weights, strict=True):

@@ -9,7 +9,7 @@ from factloom.llm import quality
 
 
 def test_stages(spark, tmp_path):
-    rows = [r[:5] for r in documents(150, 8)]
+    rows = [(r[0], r[1] and r[1].replace("7 ", "7. "), *r[2:5]) for r in documents(150, 8)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -48,9 +48,11 @@ def test_stages(spark, tmp_path):
 
 def test_extra_columns(spark, tmp_path):
     rows = [(i, f"word{i} and more. " * 3 + " ".join(f"x{i}y{j}." for j in range(80)), "en", "s", 10, 7) for i in range(12)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, bucket int").write.parquet(str(tmp_path / "documents.parquet"))
+    odd = ["bucket", "n_words", "kept", "quality", "v_length", "runs", "later_id", "_row", "id", "root"]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, x int")
+    made.selectExpr("doc_id", "text", "lang", "source", "n_chars", *[f"x as `{c}`" for c in odd]).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "bucket"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *odd]
     assert docs.count() == 12
