@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import io
 import tempfile
@@ -53,7 +54,23 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver, without which Spark keeps the shuffle files of finished jobs on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:

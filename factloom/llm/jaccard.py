@@ -2,10 +2,11 @@
 
 Every text is the set of its distinct word shingles.  Equal sets are one node.  Two
 sets with a Jaccard similarity of t share one of the first ``n - ceil(t n) + 1``
-shingles in any common order; so sets are dealt to the shingles of this prefix, and
-the order puts shingles that are frequent in prefixes last.
+shingles in any common order, which puts shingles that are frequent in prefixes last.
+The sets that share a prefix shingle go to the group of the least id among them; as
+similar sets share many shingles with the same least id, a set is in few groups.
 
-Inside such a group a signature tree finds the candidates: leaves are sets, with a
+Inside a group a signature tree finds the candidates: leaves are sets, with a
 bitmap of hashed shingles and their number; an inner node holds the OR of its
 children's bitmaps and the range of their sizes.  Two trees are traversed together,
 and a pair of nodes is left as soon as the greatest overlap that its bitmaps and
@@ -15,6 +16,7 @@ Candidates are then compared set by set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import doc_out, id_and_text, partitions, ship, written
+from factloom.llm.common import discard, doc_out, id_and_text, partitions, release, ship, written
 from factloom.llm.components import components
 from factloom.llm.textvec import buffers, mix, shingle_sets, slices
 
 MIN_BITS, MAX_BITS = 64, 4096
-#: A group up to this size is one leaf block; all of its pairs are looked at.
+#: A group up to this size is one leaf; all of its pairs are looked at, without a tree.
 LEAF = 16
+#: A group up to this size gives all of its candidates in the first round.
+FEW = 4
 #: Sets in one block of a larger group.
 GROUP = 512
 #: A shingle in more prefixes than this is put last in the order; at most this many shingles are.
@@ -220,29 +224,30 @@ def set_nodes(texts: DataFrame, k: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, _NODE)
 
 
-def prefix_rows(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(sig, id) for the prefix of every node, in the order that puts frequent shingles last.
+def prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, prefix) of every text that has words, in the order that puts frequent shingles last.
 
     Shingles count as frequent by how many prefixes they are in over the whole
-    corpus.  Only texts with such a shingle in their prefix are read once more.
+    corpus.  Only texts with such a shingle in their prefix are hashed once more.
     """
     spark = texts.sparkSession
     counts = nodes.select(F.explode("prefix").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
     top = [r.sig for r in counts.orderBy(F.desc("n"), "sig").limit(FREQUENT_KEPT).collect()]
-    frequent = np.sort(np.asarray(top, dtype=np.int64).view(np.uint64))
-    known = spark.sparkContext.broadcast(frequent)
+    del counts  # or its shuffle files would stay
+    release(spark)
+    known = spark.sparkContext.broadcast(np.sort(np.asarray(top, dtype=np.int64).view(np.uint64)))
+
+    def lists(sigs, sizes):
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(sigs))
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
+            prefix = batch.column(1)
+            values = prefix.flatten().to_numpy(zero_copy_only=False)
+            sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
             hit = np.zeros(len(sizes), dtype=bool)
-            hit[row[np.isin(values.view(np.uint64), known.value)]] = True
-            keep = ~hit[row]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(ids[row[keep]])], ["sig", "id"])
+            hit[np.repeat(np.arange(len(sizes)), sizes)[np.isin(values.view(np.uint64), known.value)]] = True
+            yield batch.filter(pa.array(~hit & (sizes > 0)))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm import jaccard as j
@@ -258,17 +263,15 @@ def prefix_rows(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> Dat
                     x, f = values[edges[r] : edges[r + 1]], late[edges[r] : edges[r + 1]]
                     size = j.prefix_size(len(x), percent)
                     if f[:size].any():
-                        x = np.concatenate((x[~f], x[f]))[:size]
-                        sigs.append(x.view(np.int64))
-                        owners.append(np.full(len(x), ids[lo + r]))
+                        sigs.append(np.concatenate((x[~f], x[f]))[:size].view(np.int64))
+                        owners.append(ids[lo + r])
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owners))], ["sig", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), lists(np.concatenate(sigs), [len(x) for x in sigs])], ["id", "prefix"])
 
-    rows = nodes.select("doc_id", "prefix").mapInArrow(plain, "sig long, id long")
-    if not len(frequent):
+    rows = nodes.select(F.col("doc_id").alias("id"), "prefix").mapInArrow(plain, "id long, prefix array<long>")
+    if not top:
         return rows
-    changed = texts.mapInArrow(again, "sig long, id long").join(nodes.select(F.col("doc_id").alias("id")), "id", "left_semi").select("sig", "id")
-    return rows.unionByName(changed)
+    return rows.unionByName(texts.mapInArrow(again, "id long, prefix array<long>"))
 
 
 def _pairs(percent: int, across: bool):
@@ -298,11 +301,12 @@ def _pairs(percent: int, across: bool):
                     out_b.append((first[:, None] + k).reshape(-1))
                 if out_a:
                     a, b = np.concatenate(out_a), np.concatenate(out_b)
-                    pair = np.stack((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])), axis=1)
-                    _, once = np.unique(pair, axis=0, return_index=True) if len(pair) < 500_000 else (None, np.arange(len(pair)))
-                    a, b = a[once], b[once]
                     ok = sets.similar(a, b, percent)
-                    out_a, out_b = [a[ok]], [b[ok]]
+                    a, b = a[ok], b[ok]
+                    few = np.repeat(sizes, sizes)[a] <= j.FEW
+                    many = np.flatnonzero(~few)
+                    keep = np.concatenate((np.flatnonzero(few), many[j.forest(a[many], b[many], len(ids))]))  # groups have no row in common
+                    out_a, out_b = [a[keep]], [b[keep]]
                 for lo, hi in zip(edges[:-1][sizes > j.LEAF], edges[1:][sizes > j.LEAF], strict=True):
                     at = np.arange(lo, hi)
                     a, b = j.tree_candidates(sets, at, at, percent)
@@ -352,7 +356,7 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     slots = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot("id").alias("slot")).distinct()
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    bits[[r.slot for r in slots.collect()]] = True
+    bits[slots.toArrow().column("slot").to_numpy()] = True
     wanted = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,13 +373,14 @@ def verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), lists], ["id", "shingles"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "id long, shingles array<long>").join(ids, "id", "left_semi")
-    sets = written(spark, sets, "sets")
+    sets = written(spark, texts.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "id long, shingles array<long>"), "sets")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     second = first.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return second.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    similar = second.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    similar = written(spark, similar, "similar")
+    discard(sets)
+    return similar
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -385,10 +390,10 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links, itself included.  Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z to lower case.
 
     Two rounds.  The first deals groups of more than GROUP sets into blocks, each with
-    the group's first set; a block's tree yields a forest of candidates at most.  Blocks
-    and candidates of small groups give the components of the first round.  The second
-    takes the larger groups that still hold several components, and traverses the trees
-    of all their sets with those of the sets outside the component of the group's first.
+    the group's first set; a block yields a forest of its candidates at most, whose
+    similar pairs give components.  The second takes the groups that still hold several
+    components, and traverses the trees of all their sets with those of the sets outside
+    the component of the group's first.
     No link between different components is lost, and no copies are paired.
 
     A null or empty text has no shingles and links with nothing, also not with another
@@ -401,39 +406,55 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     every = written(spark, set_nodes(texts, k, percent), "sets-of-texts")
     classes = every.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = written(spark, every.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    nodes = every.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").where("n_shingles > 0")
-    nodes = written(spark, nodes.dropDuplicates(["doc_id", "d1", "d2"]), "nodes")
-
-    rows = written(spark, prefix_rows(texts, nodes, k, percent), "prefixes")
-    groups = rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
-    rows = written(spark, rows.join(groups, "sig"), "groups")
-    described = nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap")
+    reps = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("id")).distinct()
+
+    # Everything that shares a shingle of a prefix with the least id among those that do, once.
+    # Copies of a set share all of its shingles, so its representative is in each of their groups and they can go later.
+    dealt = prefixes(texts, every, k, percent).select(F.explode("prefix").alias("sig"), "id").repartition(partitions(spark), "sig")
+    shared = dealt.groupBy("sig").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
+    rows = dealt.join(shared, "sig").select("hub", "id").distinct().join(reps, "id", "left_semi")
+    first_rows = written(spark, rows.join(every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct(), "id"), "groups")
+    release(spark)
+
+    # A set stays in a group only if the group has another one whose size allows the similarity.
+    step = 1.001 * math.log(100 / percent) if percent < 100 else 1.0
+    rows = first_rows.withColumn("size", F.floor(F.log("n") / step).cast("int"))
+    near = rows.groupBy("hub", "size").agg(F.count("*").alias("m")).select("hub", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)).alias("size"), "m").groupBy("hub", "size").agg(F.sum("m").alias("m")).where("m > 1").select("hub", "size")
+    rows = rows.join(near, ["hub", "size"], "left_semi").select("hub", "id")
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1")
+    rows = written(spark, rows.join(sizes, "hub").select(F.col("hub").alias("group_id"), F.col("first").alias("hub"), "id", "m"), "groups")
+    described = every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap").join(rows.select("id").distinct(), "id", "left_semi")
+    described = written(spark, described, "bitmaps")
+    discard(every, first_rows)
+    release(spark)
 
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     block = F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("block")
-    dealt = rows.select("sig", "id", block).select(F.xxhash64("sig", "block").alias("key"), F.lit(0).alias("side"), "id").join(described, "id").select("key", "side", "id", "n", F.col("id").alias("label"), "bitmap")
-    pairs = written(spark, _candidates(dealt, percent, across=False), "candidates")
-    links = written(spark, verified(texts, pairs, k, percent), "similar")
+    grouped = rows.select("group_id", "id", block).select(F.xxhash64("group_id", "block").alias("key"), F.lit(0).alias("side"), "id").join(described, "id").select("key", "side", "id", "n", F.col("id").alias("label"), "bitmap")
+    pairs = written(spark, _candidates(grouped, percent, across=False), "candidates")
+    links = verified(texts, pairs, k, percent)
     roots = components(links)
+    release(spark)
 
-    large = rows.where(F.col("m") > LEAF)
-    label = large.join(roots, "id", "left").select("sig", "id", "hub", F.coalesce("root", "id").alias("label"))
+    label = rows.where(F.col("m") > min(FEW, GROUP)).join(roots, "id", "left").select("group_id", "hub", "id", F.coalesce("root", "id").alias("label"))
     hubs = roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root"))
-    label = label.join(hubs, "hub", "left").select("sig", "id", "label", (F.col("label") != F.coalesce("hub_root", "hub")).alias("outside"))
+    label = label.join(hubs, "hub", "left").select("group_id", "id", "label", (F.col("label") != F.coalesce("hub_root", "hub")).alias("outside"))
     label = written(spark, label, "labels")
-    mixed = label.groupBy("sig").agg(F.count("*").alias("m"), F.sum(F.col("outside").cast("long")).alias("o")).where("o > 0")
-    split = label.join(mixed, "sig").withColumn("rows", F.ceil(F.col("m") / GROUP).cast("int")).withColumn("columns", F.ceil(F.col("o") / GROUP).cast("int"))
+    mixed = label.groupBy("group_id").agg(F.count("*").alias("m"), F.sum(F.col("outside").cast("long")).alias("o")).where("o > 0")
+    split = label.join(mixed, "group_id").withColumn("rows", F.ceil(F.col("m") / GROUP).cast("int")).withColumn("columns", F.ceil(F.col("o") / GROUP).cast("int"))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    whole = split.select("sig", "id", "label", place("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"))
-    rest = split.where("outside").select("sig", "id", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), place("columns").alias("j"), F.lit(1).alias("side"))
-    crossed = whole.unionByName(rest).select(F.xxhash64("sig", "i", "j").alias("key"), "side", "id", "label").join(described, "id").select("key", "side", "id", "n", "label", "bitmap")
-    more = written(spark, _candidates(crossed, percent, across=True), "candidates").join(pairs, ["a", "b"], "left_anti")
-    more = written(spark, more, "candidates")
+    whole = split.select("group_id", "id", "label", place("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"))
+    rest = split.where("outside").select("group_id", "id", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), place("columns").alias("j"), F.lit(1).alias("side"))
+    crossed = whole.unionByName(rest).select(F.xxhash64("group_id", "i", "j").alias("key"), "side", "id", "label").join(described, "id").select("key", "side", "id", "n", "label", "bitmap")
+    more = written(spark, _candidates(crossed, percent, across=True).join(pairs, ["a", "b"], "left_anti"), "candidates")
     if more.isEmpty():
         all_roots = roots
     else:
-        all_roots = components(links.unionByName(verified(texts, more, k, percent)))
+        all_roots = components(links.unionByName(found := verified(texts, more, k, percent)))
+        discard(found)
+    discard(rows, described, pairs, links, label, more)
+    release(spark)
     reached = all_roots.select(F.col("id").alias("rep"), "root")
     out = members.join(reached, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.select(doc_out(), "n_shingles", doc_out("component_id"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm.common import doc_key, doc_out, id_and_text, partitions, ship
 from factloom.llm.textvec import Words, buffers, mix, slices
@@ -374,7 +375,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = GRAM, keep: tup
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(doc_key(), text.alias("text"), F.xxhash64(text).alias("text_hash"), *keep)
     joined = source.join(marks.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "runs", *keep)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    own = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    schema = T.StructType([*own.fields, *[docs.schema[c] for c in keep]])
     return joined.mapInArrow(drop, schema).withColumn("doc_id", doc_out())
 
