@@ -30,9 +30,13 @@ def dedup_key() -> Column:
 
 
 def deduplicated(rows: DataFrame, order: str = "ord") -> DataFrame:
-    """The first row of every key."""
-    keyed = rows.withColumn("dedup_key", dedup_key())
-    first = keyed.groupBy("dedup_key").agg(F.min_by(F.struct(*rows.columns), order).alias("r"))
+    """The first row of every key.
+
+    ``rows`` may have its dedup_key already, and then needs no content: keys are digests
+    of fixed size, contents are whole texts.
+    """
+    keyed = rows if "dedup_key" in rows.columns else rows.withColumn("dedup_key", dedup_key())
+    first = keyed.groupBy("dedup_key").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "dedup_key"]), order).alias("r"))
     return first.select("dedup_key", "r.*")
 
 
@@ -53,7 +57,7 @@ def gap_account(rows: DataFrame, asked: DataFrame, failed: DataFrame, floor: flo
     'failed', one without evidence 'silent', others 'ok'.
     """
     returned = rows.groupBy("source_type").agg(F.count("*").alias("returned"))
-    kept = deduplicated(rows).groupBy("source_type").agg(F.count("*").alias("kept"), F.count_if(F.col("confidence") < floor).alias("low_confidence"))
+    kept = deduplicated(rows.select(dedup_key().alias("dedup_key"), "source_type", "confidence", "ord")).groupBy("source_type").agg(F.count("*").alias("kept"), F.count_if(F.col("confidence") < floor).alias("low_confidence"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     joined = asked.select("source_type").distinct().join(returned, "source_type", "left").join(kept, "source_type", "left").join(failed.select("source_type", F.lit(True).alias("failed")).distinct(), "source_type", "left")
     return joined.select("source_type", zero("returned"), zero("kept"), (F.coalesce("returned", F.lit(0)) - F.coalesce("kept", F.lit(0))).alias("duplicates"), zero("low_confidence"), F.when(F.col("failed"), "failed").when(F.coalesce("kept", F.lit(0)) == 0, "silent").otherwise("ok").alias("status"))

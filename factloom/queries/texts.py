@@ -134,30 +134,53 @@ _EVIDENCE = """select 'policy' as source_type, source as source_id, lang as loca
 
 
 def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of four tables with whole texts and whole pages as content."""
     t = lambda n: table(spark, d, n)
     row = lambda kind, source, place, content, confidence, order: [F.lit(kind).alias("source_type"), source.alias("source_id"), place.cast("string").alias("locator"), content.cast("string").alias("content"), confidence.cast("double").alias("confidence"), order.cast("long").alias("ord")]
     one, c = F.lit(1.0), F.col
     return (
-        t("documents").select(*row("policy", c("source"), c("lang"), F.substring(F.coalesce("text", F.lit("")), 1, 40), one, c("doc_id")))
+        t("documents").select(*row("policy", c("source"), c("lang"), F.coalesce("text", F.lit("")), one, c("doc_id")))
         .unionByName(t("events").select(*row("sql", F.lit("events"), c("event_type"), c("user_id"), one, c("event_id"))))
         .unionByName(t("labels").select(*row("spreadsheet", F.lit("labels"), c("quality"), c("toxic"), one, c("doc_id"))))
-        .unionByName(t("pages").select(*row("scanned", F.lit("pages"), c("url"), F.substring("html", 1, 20), F.when(c("page_id") % 4 == 0, 0.4).otherwise(0.9), c("page_id"))))
+        .unionByName(t("pages").select(*row("scanned", F.lit("pages"), c("url"), c("html"), F.when(c("page_id") % 4 == 0, 0.4).otherwise(0.9), c("page_id"))))
     )
 
 
+def previews(rows: DataFrame) -> DataFrame:
+    """Evidence with the beginning of a text or page as content, which is what ``_EVIDENCE`` compares."""
+    kind, content = F.col("source_type"), F.col("content")
+    return rows.withColumn("content", F.when(kind == "policy", F.substring(content, 1, 40)).when(kind == "scanned", F.substring(content, 1, 20)).otherwise(content))
+
+
 _KEY = "sha256(source_type || chr(31) || coalesce(source_id, '') || chr(31) || coalesce(locator, '') || chr(31) || sha256(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))))"
 
 
 @query(f"""with e as ({_EVIDENCE}), k as (select *, {_KEY} as dedup_key from e), f as (select dedup_key, any_value(source_type) as source_type, min(ord) as ord from k group by 1)
     select dedup_key, source_type, ord from f""")
 def evidence_union(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.deduplicated(evidence_rows(spark, d)).select("dedup_key", "source_type", "ord")
+    """Previews as content, as its SQL has it: texts that begin alike are one.  ``evidence_union_whole`` compares whole texts."""
+    return evidence.deduplicated(previews(evidence_rows(spark, d))).select("dedup_key", "source_type", "ord")
+
+
+_WHOLE = """select 'policy' as source_type, source as source_id, lang as locator, coalesce(text, '') as content, 1.0::double as confidence, doc_id as ord from documents
+    union all select 'sql', 'events', event_type, cast(user_id as varchar), 1.0, event_id from events
+    union all select 'spreadsheet', 'labels', cast(quality as varchar), cast(toxic as varchar), 1.0, doc_id from labels
+    union all select 'scanned', 'pages', url, html, case when page_id % 4 = 0 then 0.4 else 0.9 end, page_id from pages"""
+_SPACE = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_WHOLE_KEY = f"sha256(source_type || chr(31) || coalesce(source_id, '') || chr(31) || coalesce(locator, '') || chr(31) || sha256(trim(regexp_replace(coalesce(content, ''), '{_SPACE}', ' ', 'g'))))"
+
+
+@query(f"select {_WHOLE_KEY} as dedup_key, any_value(source_type) as source_type, min(ord) as ord from ({_WHOLE}) group by 1")
+def evidence_union_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The union with whole texts and pages as content; only digests travel."""
+    rows = evidence_rows(spark, d).select(evidence.dedup_key().alias("dedup_key"), "source_type", "ord")
+    return evidence.deduplicated(rows).select("dedup_key", "source_type", "ord")
 
 
 @query(f"""with e as ({_EVIDENCE}), k as (select *, {_KEY} as dedup_key from e where ord < 50), f as (select dedup_key, any_value(source_type) as source_type, min(ord) as ord from k group by 1)
     select source_type, ord, 'E' || row_number() over (order by case source_type when 'sql' then 0 when 'policy' then 1 else 2 end, ord, source_type) as evidence_id from f""")
 def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = evidence.deduplicated(evidence_rows(spark, d).where("ord < 50")).withColumn("ord2", F.struct("ord", "source_type"))
+    rows = evidence.deduplicated(previews(evidence_rows(spark, d)).where("ord < 50")).withColumn("ord2", F.struct("ord", "source_type"))
     out = evidence.canonical(rows.drop("dedup_key").withColumn("o", F.col("ord")).withColumn("ord", F.col("ord2")).drop("ord2"), ["sql", "policy"])
     return out.select("source_type", F.col("o").alias("ord"), "evidence_id")
 
@@ -168,9 +191,22 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
     select source_type, coalesce(returned, 0) as returned, coalesce(kept, 0) as kept, coalesce(returned, 0) - coalesce(kept, 0) as duplicates, coalesce(low_confidence, 0) as low_confidence,
         case when source_type = 'broken' then 'failed' when coalesce(kept, 0) = 0 then 'silent' else 'ok' end as status from a left join r using (source_type) left join s using (source_type)""")
 def gap_account(spark: SparkSession, d: str) -> DataFrame:
+    """Previews as content, as its SQL has it: texts that begin alike count as duplicates.  ``gap_account_whole`` compares whole texts."""
+    return evidence.gap_account(previews(evidence_rows(spark, d)), *asked_and_failed(spark))
+
+
+@query(f"""with e as ({_WHOLE}), f as (select {_WHOLE_KEY} as dedup_key, any_value(source_type) as source_type, arg_min(confidence, ord) as confidence from e group by 1),
+    r as (select source_type, count(*) as returned from e group by 1), s as (select source_type, count(*) as kept, count(*) filter (where confidence < 0.6) as low_confidence from f group by 1),
+    a as (select unnest(['policy', 'sql', 'spreadsheet', 'scanned', 'archive', 'broken']) as source_type)
+    select source_type, coalesce(returned, 0) as returned, coalesce(kept, 0) as kept, coalesce(returned, 0) - coalesce(kept, 0) as duplicates, coalesce(low_confidence, 0) as low_confidence,
+        case when source_type = 'broken' then 'failed' when coalesce(kept, 0) = 0 then 'silent' else 'ok' end as status from a left join r using (source_type) left join s using (source_type)""")
+def gap_account_whole(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.gap_account(evidence_rows(spark, d), *asked_and_failed(spark))
+
+
+def asked_and_failed(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     asked = spark.createDataFrame([(s,) for s in (*evidence.SOURCE_TYPES, "archive", "broken")], "source_type string")
-    failed = spark.createDataFrame([("broken",)], "source_type string")
-    return evidence.gap_account(evidence_rows(spark, d), asked, failed)
+    return asked, spark.createDataFrame([("broken",)], "source_type string")
 
 
 _MANIFEST = """now as (select doc_id, sha256(coalesce(text, '')) as h from documents where doc_id % 11 <> 0),
