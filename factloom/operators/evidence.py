@@ -43,11 +43,34 @@ def deduplicated(rows: DataFrame, order: str = "ord") -> DataFrame:
 def canonical(rows: DataFrame, routing: Sequence[str], order: str = "ord") -> DataFrame:
     """Deduplicated evidence in routing order (other sources last) with ids E1, E2, ...
 
-    Ids number one run's evidence, which the retrieval limits bound.
+    ``order`` is a number; where it ties, the source decides, then the key.  Ranges of it
+    are cut at quantiles, one for each shuffle partition, and counted; an id is the count
+    of all ranges before and the rank inside the range, so no window sees all rows.
     """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.select(F.col(order).cast("double").alias(order)).approxQuantile(order, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     place = F.coalesce(*[F.when(F.col("source_type") == s, F.lit(i)) for i, s in enumerate(routing)], F.lit(len(routing))) if routing else F.lit(0)
-    numbered = deduplicated(rows, order).withColumn("position", place)
-    return numbered.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(Window.orderBy("position", order))))
+    found = deduplicated(rows, order).withColumn("position", place).withColumn("_range", _range_of(F.col(order).cast("double"), cuts))
+    sizes = found.groupBy("position", "_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("position", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("position", "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("position", "_range").orderBy(order, "source_type", "dedup_key"))
+    placed = found.withColumn("_rank", rank).join(F.broadcast(starts), ["position", "_range"])
+    numbered = placed.withColumn("evidence_id", F.concat(F.lit("E"), (F.col("_before") + F.col("_rank")).cast("string")))
+    return numbered.select("dedup_key", *[c for c in rows.columns if c != "dedup_key"], "position", "evidence_id")
+
+
+def _range_of(value: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted ``cuts`` are at most the value, by halving; -1 for null."""
+
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(cuts[mid]), below(lo, mid)).otherwise(below(mid + 1, hi))
+
+    return F.when(value.isNull(), -1).otherwise(below(0, len(cuts)))
 
 
 def gap_account(rows: DataFrame, asked: DataFrame, failed: DataFrame, floor: float = LOW_CONFIDENCE) -> DataFrame:

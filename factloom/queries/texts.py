@@ -180,9 +180,15 @@ def evidence_union_whole(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with e as ({_EVIDENCE}), k as (select *, {_KEY} as dedup_key from e where ord < 50), f as (select dedup_key, any_value(source_type) as source_type, min(ord) as ord from k group by 1)
     select source_type, ord, 'E' || row_number() over (order by case source_type when 'sql' then 0 when 'policy' then 1 else 2 end, ord, source_type) as evidence_id from f""")
 def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = evidence.deduplicated(previews(evidence_rows(spark, d)).where("ord < 50")).withColumn("ord2", F.struct("ord", "source_type"))
-    out = evidence.canonical(rows.drop("dedup_key").withColumn("o", F.col("ord")).withColumn("ord", F.col("ord2")).drop("ord2"), ["sql", "policy"])
-    return out.select("source_type", F.col("o").alias("ord"), "evidence_id")
+    """Rows of ids under 50 alone, as its SQL has it.  ``evidence_ids_whole`` numbers all."""
+    return evidence.canonical(previews(evidence_rows(spark, d)).where("ord < 50"), ["sql", "policy"]).select("source_type", "ord", "evidence_id")
+
+
+@query(f"""with f as (select {_WHOLE_KEY} as dedup_key, any_value(source_type) as source_type, min(ord) as ord from ({_WHOLE}) group by 1)
+    select source_type, ord, 'E' || row_number() over (order by case source_type when 'sql' then 0 when 'policy' then 1 else 2 end, ord, source_type) as evidence_id from f""")
+def evidence_ids_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = evidence_rows(spark, d).select(evidence.dedup_key().alias("dedup_key"), "source_type", "ord")
+    return evidence.canonical(rows, ["sql", "policy"]).select("source_type", "ord", "evidence_id")
 
 
 @query(f"""with e as ({_EVIDENCE}), k as (select *, {_KEY} as dedup_key from e), f as (select dedup_key, any_value(source_type) as source_type, arg_min(confidence, ord) as confidence from k group by 1),

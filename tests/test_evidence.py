@@ -27,3 +27,23 @@ def test_whole_content(spark, tmp_path):
     assert union == kept
     account = {r.source_type: (r.returned, r.kept, r.duplicates) for r in texts.gap_account_whole(spark, str(tmp_path)).collect()}
     assert account["policy"] == (3, 2, 1) and account["scanned"] == (3, 3, 0)
+
+
+def test_ids_of_all_rows(spark, tmp_path):
+    made(spark, tmp_path, 120)
+    out = texts.evidence_ids_whole(spark, str(tmp_path)).collect()
+    place = {"sql": 0, "policy": 1}
+    expected = sorted(((place.get(r.source_type, 2), r.ord, r.source_type) for r in texts.evidence_union_whole(spark, str(tmp_path)).collect()))
+    assert [(r.source_type, r.ord) for r in sorted(out, key=lambda r: int(r.evidence_id[1:]))] == [(s, o) for _, o, s in expected]
+    assert sorted(int(r.evidence_id[1:]) for r in out) == list(range(1, len(expected) + 1)) and max(r.ord for r in out) == 119
+
+
+def test_no_window_over_all_rows(spark):
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 'sql', 'policy') source_type", "'t' source_id", "'' locator", "string(id) content", "1.0D confidence", "id div 7 ord")
+    found = evidence.canonical(rows, ["policy", "sql"])
+    got = sorted(found.collect(), key=lambda r: int(r.evidence_id[1:]))
+    assert [int(r.evidence_id[1:]) for r in got] == list(range(1, 5001))
+    key = lambda r: (r.source_type != "policy", r.ord, r.dedup_key)
+    assert [r.dedup_key for r in got] == [r.dedup_key for r in sorted(got, key=key)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(position" in plan
