@@ -355,9 +355,21 @@ def answer_clusters(spark: SparkSession, d: str) -> DataFrame:
     z as (select step, count(*) as n, count(a) as placed from r group by 1)
     select r.step, 'book!sheet!' || a as locator, cast(1 as bigint) as row_count from r join z using (step) where n = placed and n <= 25 union all select step, 'book!sheet', n from z where not (n = placed and n <= 25)""")
 def sheet_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every third step, as its SQL has it.  ``sheet_evidence_whole`` has all."""
+    return evidence.sheet_evidence(sheet_rows(spark, d).where("step % 3 = 0"))
+
+
+@query("""with r as (select o_custkey as step, case when o_custkey % 4 = 0 and o_orderkey % 5 = 0 then null else 'A' || o_orderkey || ':D' || o_orderkey end as a from orders),
+    z as (select step, count(*) as n, count(a) as placed from r group by 1)
+    select r.step, 'book!sheet!' || a as locator, cast(1 as bigint) as row_count from r join z using (step) where n = placed and n <= 25 union all select step, 'book!sheet', n from z where not (n = placed and n <= 25)""")
+def sheet_evidence_whole(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.sheet_evidence(sheet_rows(spark, d))
+
+
+def sheet_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rows of one sheet, with the customer as step; some rows have lost their lineage."""
     key = F.col("o_orderkey").cast("string")
-    rows = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("step"), F.lit("book").alias("_workbook"), F.lit("sheet").alias("_sheet"), F.when(~((F.col("o_custkey") % 4 == 0) & (F.col("o_orderkey") % 5 == 0)), F.concat(F.lit("A"), key, F.lit(":D"), key)).alias("_a1_range"))
-    return evidence.sheet_evidence(rows)
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("step"), F.lit("book").alias("_workbook"), F.lit("sheet").alias("_sheet"), F.when(~((F.col("o_custkey") % 4 == 0) & (F.col("o_orderkey") % 5 == 0)), F.concat(F.lit("A"), key, F.lit(":D"), key)).alias("_a1_range"))
 
 
 @query(f"""with c as (select distinct conv_id, unnest({_CITED}) as evidence_id from conversations), k as (select distinct conv_id, 'E' || turn as evidence_id, 'turn ' || turn as citation, turn from conversations)

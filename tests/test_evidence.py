@@ -47,3 +47,9 @@ def test_no_window_over_all_rows(spark):
     assert [r.dedup_key for r in got] == [r.dedup_key for r in sorted(got, key=key)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(position" in plan
+
+
+def test_all_steps_give_evidence(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (2, 2), (3, 3), (5, 4), (10, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.step, r.locator, r.row_count) for r in texts.sheet_evidence_whole(spark, str(tmp_path)).collect()}
+    assert got == {(1, "book!sheet!A1:D1", 1), (2, "book!sheet!A2:D2", 1), (3, "book!sheet!A3:D3", 1), (4, "book!sheet", 2)}
