@@ -90,24 +90,18 @@ def _common_prefix(a: str, b: str) -> int:
 def loss_spans(turns: list[Turn], rendered: Rendered, template: Callable[[list[Turn]], str]) -> list[tuple[int, int]]:
     """Where the texts of the ``LOSS_ROLE`` lie in the output.
 
-    Inside a turn's span the text is located by rendering the same turn once more
-    with an empty text: what both renderings share at the front and at the back is
-    the template's own.  A history that was rewritten gets no loss.
+    The text is located by rendering the same turn, behind the same turns before it,
+    with two other texts of one character: what both renderings share at the front and
+    at the back is the template's own.  A history that was rewritten gets no loss.
     """
     out = []
-    frames: dict[str, tuple[int, int]] = {}
     for i, (role, text) in enumerate(turns):
         if role != LOSS_ROLE or not text or any(r >= i for r in rendered.rewrites):
             continue
-        if role not in frames:
-            probe, bare = template([(role, "x")]), template([(role, "")])
-            head = _common_prefix(bare, probe)
-            if probe[head : head + 1] != "x":
-                head = probe.index("x", head)
-            frames[role] = head, len(probe) - head - 1
-        head, tail = frames[role]
-        a, b = rendered.spans[i]
-        out.append((a + head, b - tail))
+        probe, other = (template([*turns[:i], (role, t)]) for t in "xy")
+        head = _common_prefix(probe, other)
+        tail = len(probe) - head - 1
+        out.append((head, rendered.spans[i][1] - tail))
     return out
 
 
