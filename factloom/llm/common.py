@@ -24,16 +24,20 @@ _ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _own_folder: list[str] = []
 _shipped: set[tuple[str, str]] = set()
+_roots: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (as in tests on one machine) a folder of our own is made.
+    Only where that is unset and the master is local (as in tests on one machine) a
+    folder of our own is made; on a cluster an unset folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         made = tempfile.TemporaryDirectory(prefix="factloom-")
         atexit.register(made.cleanup)
@@ -42,8 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver ends unless ``discard`` came first."""
+    root = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        place = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+        _roots.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -109,6 +120,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def beside(keep: tuple[str, ...], own: tuple[str, ...]) -> dict[str, str]:
+    """The result's name of each kept column: its own, or with ``in_`` before it (as often as needed) where that is taken."""
+    taken, out = {c.lower() for c in own}, {}
+    for c in dict.fromkeys(keep):
+        name = c
+        while name.lower() in taken:
+            name = f"in_{name}"
+        taken.add(name.lower())
+        out[c] = name
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,19 +1,27 @@
 """Quality rules as weak supervision: rules vote or abstain, and expectation-maximisation weighs their votes.
 
+A rule votes -2 or -1 (junk, at a hard and at a soft threshold), 1 (good) or abstains (0).
+Rules that look at the same thing form a family, whose joint vote has one joint weight.
+Junk comes in kinds that one family sees and the others take for prose, so the hidden
+class of a text is good or one kind of junk for each family.  The estimate gives the
+share of each class and how often each joint vote occurs in it; the quality of a text
+is the posterior probability of the good class.
+
 All work on rows is DataFrame expressions.  The driver sees only how often each
-combination of votes occurs (at most 3 ** rules rows).
+combination of votes occurs (at most 4 ** rules rows; some hundreds in practice).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import doc_key, doc_out, written
+from factloom.llm.common import beside, doc_key, doc_out, written
 
 SEPARATORS = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -57,9 +65,10 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base figures and those of the rules; a null text has no words."""
+    """doc_id, the base figures, those of the rules, and the columns ``keep`` as one struct ``_kept``; a null text has no words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(doc_key(), *keep, text.alias("_text")).withColumn("_words", words_of(F.col("_text")))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+    base = docs.select(doc_key(), kept.alias("_kept"), text.alias("_text")).withColumn("_words", words_of(F.col("_text")))
     t, w = F.col("_text"), F.col("_words")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SEPARATORS)) != "")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
@@ -70,121 +79,177 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(w).alias("n_repeat_words"),
         let(lines, lambda x: F.size(x).cast("long")).alias("n_lines"),
+        count(SYMBOLS + "+").alias("n_marks"),
         count("\\p{Lu}").alias("n_upper"),
         count("!").alias("n_exclaim"),
         count("[.?!;:,\\u3002\\uff01\\uff1f]").alias("n_stops"),
+        count("[.?!\\u3002\\uff01\\uff1f](?=\\s|$)").alias("n_ends"),
     )
-    return base.select("doc_id", *keep, F.inline(F.array(figures)))  # a generator: what reads the figures can't compute them again
+    return base.select("doc_id", "_kept", F.inline(F.array(figures)))  # a generator: what reads the figures can't compute them again
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes -1 (junk) where ``bad`` holds, else 1 where ``good`` holds, else abstains."""
+    """Votes -2 where ``hard`` holds, else -1 where ``soft`` holds, else 1 where ``good`` holds, else abstains."""
 
     name: str
-    bad: str
+    hard: str
+    soft: str
     good: str
 
 
-#: The rules; all of them abstain on a text without words.  Each has one kind of junk in
-#: mind, so its junk vote is set where ordinary prose hardly ever comes.
-RULES = (
-    Rule("length", "n_words < 20", "n_words >= 80"),
-    Rule("word_size", "word_chars < 2 * n_words or word_chars > 16 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("symbols", "20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    Rule("lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines", "n_lines >= 3 and n_dup_lines = 0"),
-    Rule("repeats", "10 * n_repeat_words > 4 * n_words", "20 * n_repeat_words <= n_words"),
-    Rule("capitals", "5 * n_upper > word_chars and n_words >= 20", "10 * n_upper <= word_chars"),
-    Rule("shouting", "10 * n_exclaim > n_words", "100 * n_exclaim <= n_words"),
-    Rule("stops", "100 * n_stops < n_words", "20 * n_stops >= n_words"),
+VOTES = (-2, -1, 0, 1)
+
+#: Families of rules; all rules abstain on a text without words.
+FAMILIES: tuple[tuple[Rule, ...], ...] = (
+    (Rule("length", "n_words < 20", "n_words < 50", "n_words >= 50"),),
+    (Rule("word_size", "word_chars not between 2 * n_words and 20 * n_words", "word_chars not between 3 * n_words and 12 * n_words", "word_chars <= 9 * n_words"),),
+    (
+        Rule("symbols", "3 * n_symbols > n_words", "20 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+        Rule("marks", "4 * n_marks > n_words", "20 * n_marks > n_words", "100 * n_marks <= n_words"),
+    ),
+    (
+        Rule("lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines", "n_lines >= 4 and 5 * n_dup_lines > n_lines", "n_dup_lines = 0"),
+        Rule("repeats", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words > n_words", "20 * n_repeat_words <= n_words"),
+    ),
+    (
+        Rule("capitals", "10 * n_upper > 3 * word_chars", "10 * n_upper > word_chars", "20 * n_upper <= word_chars"),
+        Rule("shouting", "10 * n_exclaim > 3 * n_words", "20 * n_exclaim > n_words", "100 * n_exclaim <= n_words"),
+    ),
+    (
+        Rule("stops", "200 * n_stops < n_words", "50 * n_stops < n_words", "20 * n_stops >= n_words"),
+        Rule("ends", "100 * n_ends < n_words", "50 * n_ends < n_words", "25 * n_ends >= n_words"),
+    ),
 )
-#: A rule's junk votes may be wrong on this share of the good texts at most.
-FALSE_ALARMS = 0.002
+
+#: Prior: the share of good texts; how much likelier a vote is in prose for each step of its mean (as a power of e); and
+#: what the prior counts for, as a share of the texts (so that the estimate is the same at every size of the corpus).
+PRIOR_GOOD, LEAN, STRENGTH = 0.8, 3.0, 0.05
 
 
 def vote(rule: Rule) -> Column:
-    return F.expr(f"case when n_words = 0 then 0 when {rule.bad} then -1 when {rule.good} then 1 else 0 end").alias(f"v_{rule.name}")
+    return F.expr(f"case when n_words = 0 then 0 when {rule.hard} then -2 when {rule.soft} then -1 when {rule.good} then 1 else 0 end").alias(f"v_{rule.name}")
+
+
+def code_of(votes: tuple[int, ...]) -> int:
+    """The place of a family's joint vote in the tables of shares."""
+    code = 0
+    for v in votes:
+        code = len(VOTES) * code + v - VOTES[0]
+    return code
+
+
+def _leaning(rules: int, lean: float) -> np.ndarray:
+    """Shares of a family's joint votes that grow with the mean vote."""
+    weight = np.exp([lean * sum(t) / rules for t in product(VOTES, repeat=rules)])
+    return weight / weight.sum()
 
 
 @dataclass
 class VoteModel:
-    """What expectation-maximisation estimates: the share of good texts and each rule's votes in both classes."""
+    """Shares of the classes (the first is good, then one kind of junk for each family), and in each the shares of each family's joint votes."""
 
-    prior: float
-    #: given[class][rule][vote]: probability of the vote (-1 or 1) in the class (0 junk, 1 good), given that the rule doesn't abstain.
-    given: tuple[list[dict[int, float]], list[dict[int, float]]]
+    share: np.ndarray
+    #: given[family][class, code_of(joint vote)]
+    given: list[np.ndarray]
 
-    def weights(self) -> tuple[float, list[dict[int, float]]]:
-        """Log odds of good: the prior's, and what each vote adds; an abstention adds nothing."""
-        junk, good = self.given
-        return math.log(self.prior / (1 - self.prior)), [{0: 0.0} | {v: math.log(g[v] / j[v]) for v in (-1, 1)} for j, g in zip(junk, good, strict=True)]
+    def posterior(self, votes: tuple[tuple[int, ...], ...]) -> float:
+        """Probability of the good class given the joint vote of each family."""
+        log = np.log(self.share) + sum(np.log(g[:, code_of(v)]) for g, v in zip(self.given, votes, strict=True))
+        return float(1 / np.exp(log - log[0]).sum())
 
-    def posterior(self, votes: tuple[int, ...]) -> float:
-        start, weights = self.weights()
-        odds = start + sum(w[v] for w, v in zip(weights, votes, strict=True))
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
+def prior_model(sizes: tuple[int, ...], good: float = PRIOR_GOOD, lean: float = LEAN) -> VoteModel:
+    """What is held before any vote is seen.
 
-def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, smoothing: float = 1.0, false_alarms: float = FALSE_ALARMS) -> VoteModel:
-    """Expectation-maximisation over the counts of vote combinations.
+    Prose votes lean to good.  A kind of junk leans to junk in its own family; in the
+    others it looks like prose, but for one text in as many as there are families.
+    """
+    n = len(sizes)
+    prose, junk = [_leaning(s, lean) for s in sizes], [_leaning(s, -lean) for s in sizes]
+    given = [np.stack([p] + [j if kind == f else p + (j - p) / n for kind in range(n)]) for f, (p, j) in enumerate(zip(prose, junk, strict=True))]
+    return VoteModel(np.array([good] + [(1 - good) / n] * n), given)
 
-    Junk comes in kinds that a single rule sees and all others take for prose, so
-    votes alone can't tell a rule that finds such a kind from one that errs.  What the
-    estimate is given is ``false_alarms``, the greatest share of good texts on which a
-    rule may vote junk; within it, shares of votes and of good texts are estimated.
-    ``smoothing`` is added to every count, and no rule may do worse than chance.
+
+def fit(patterns: dict[tuple[tuple[int, ...], ...], int], sizes: tuple[int, ...], prior: VoteModel | None = None, strength: float = STRENGTH, rounds: int = 1000, tolerance: float = 1e-6) -> VoteModel:
+    """Expectation-maximisation over the counts of vote combinations, from ``prior`` and with it.
+
+    ``sizes`` are the numbers of rules in the families.  The prior of a class counts for
+    ``strength`` of the texts that are in it, and as many as are expected to be.  A joint
+    vote that no other family supports or denies carries no information on its class,
+    so the prior decides it; all others are decided by the counts.  It ends when no
+    share of a class moves by ``tolerance``, or after ``rounds``.
     """
-    model = VoteModel(0.8, ([{-1: 0.25, 1: 0.75}] * rules, [{-1: min(false_alarms, 0.05), 1: 1 - min(false_alarms, 0.05)}] * rules))
+    prior = prior or prior_model(sizes)
     total = sum(patterns.values())
     if not total:
-        return model
+        return prior
+    combinations = sorted(patterns)
+    n = np.array([patterns[v] for v in combinations], dtype=float)
+    codes = np.array([[code_of(t) for t in v] for v in combinations])
+    classes, worth = len(prior.share), strength * total
+    model = prior
     for _ in range(rounds):
-        mass = [0.0, 0.0]
-        counts = [[dict.fromkeys((-1, 1), smoothing) for _ in range(rules)] for _ in (0, 1)]
-        for votes, n in patterns.items():
-            p = model.posterior(votes)
-            for c, share in ((0, n * (1 - p)), (1, n * p)):
-                mass[c] += share
-                for r, v in enumerate(votes):
-                    if v:
-                        counts[c][r][v] += share
-        given = tuple([{v: n / sum(d.values()) for v, n in d.items()} for d in counts[c]] for c in (0, 1))
-        for j, g in zip(*given, strict=True):
-            g[-1] = min(g[-1], j[-1], false_alarms)
-            g[1] = 1 - g[-1]
-        prior = min(max((mass[1] + smoothing) / (total + 2 * smoothing), 0.01), 0.99)
-        moved = abs(prior - model.prior)
-        model = VoteModel(prior, given)
-        if moved < 1e-9:
+        log = np.log(model.share) + sum(np.log(g[:, codes[:, f]]).T for f, g in enumerate(model.given))
+        weight = np.exp(log - log.max(axis=1, keepdims=True))
+        weight *= (n / weight.sum(axis=1))[:, None]
+        mass = weight.sum(axis=0)
+        pseudo = (strength * mass + worth * prior.share)[:, None]
+        given = []
+        for f, first in enumerate(prior.given):
+            counts = np.stack([np.bincount(codes[:, f], weights=weight[:, c], minlength=first.shape[1]) for c in range(classes)])
+            given.append((counts + pseudo * first) / (mass[:, None] + pseudo))
+        share = (mass + worth * prior.share) / (total + worth)
+        moved = float(np.abs(share - model.share).max())
+        model = VoteModel(share, given)
+        if moved < tolerance:
             break
     return model
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = (), threshold: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def posterior_column(model: VoteModel, families: tuple[tuple[Rule, ...], ...]) -> Column:
+    """``VoteModel.posterior`` of the vote columns: one look-up in an array of constants for each family and kind of junk."""
+    against = F.lit(0.0)
+    for kind in range(1, len(model.share)):
+        log = F.lit(float(np.log(model.share[kind] / model.share[0])))
+        for f, family in enumerate(families):
+            code = F.lit(0)
+            for rule in family:
+                code = code * len(VOTES) + F.col(f"v_{rule.name}") - VOTES[0]
+            log = log + F.get(F.array(*[F.lit(float(x)) for x in np.log(model.given[f][kind] / model.given[f][0])]), code)
+        against = against + F.exp(log)
+    return 1 / (1 + against)
+
+
+OWN = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def judge(docs: DataFrame, keep: tuple[str, ...] = (), threshold: float = 0.5, families: tuple[tuple[Rule, ...], ...] = FAMILIES, strength: float = STRENGTH) -> DataFrame:
     """Figures, base verdict, posterior probability of good quality and the verdict of every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, quality (the posterior), the votes, and the columns in
-    ``keep``.  The only shuffle is that of the vote counts.  The figures are written to
-    the shared folder and read again for the verdict; if columns are kept, which may
-    be the texts, they are computed again instead, as that needs no copy of the
-    texts.  ``kept`` is false where base_failed
-    (n_words < 50, or more than half of the words in repeated windows), else whether
-    the posterior reaches ``threshold``.
-
-    A null or empty text has no words and fails.  Each input row gives one row;
-    null ids come back as null.  No documents: no rows.
+    ``keep``.  The only shuffle is that of the vote counts.  The figures are computed
+    once and written, with the columns in ``keep``, to the shared folder.  ``kept`` is
+    false where base_failed (n_words < 50, or more than half of the words in repeated
+    windows), else whether the posterior reaches ``threshold``.
+
+    A null or empty text has no words, all rules abstain and it fails by its length.
+    Texts of any length are judged whole.  Each input row gives one row, also where
+    rows repeat; null ids come back as null.  No documents: no rows.  Columns that
+    aren't in ``keep`` are ignored; one in ``keep`` that has the name of a column of
+    the result comes back as ``in_<name>``.
     """
     spark = docs.sparkSession
+    rules = [r for family in families for r in family]
     votes = [f"v_{r.name}" for r in rules]
-    with_votes = lambda figures: figures.select("*", *[vote(r) for r in rules])
-    voted = with_votes(features(docs, keep) if keep else written(spark, features(docs), "quality"))
-    counted = with_votes(features(docs)) if keep else voted
-    patterns = {tuple(r[v] for v in votes): r["n"] for r in counted.groupBy(*votes).agg(F.count("*").alias("n")).collect()}
-    start, weights = fit(patterns, len(rules)).weights()
-    odds = F.lit(start)
-    for name, weight in zip(votes, weights, strict=True):
-        odds = odds + F.when(F.col(name) < 0, weight[-1]).when(F.col(name) > 0, weight[1]).otherwise(weight[0])
+    voted = written(spark, features(docs, keep), "quality").select("*", *[vote(r) for r in rules])
+    patterns: dict[tuple[tuple[int, ...], ...], int] = {}
+    for row in voted.groupBy(*votes).agg(F.count("*").alias("n")).collect():
+        seen = iter(row)
+        patterns[tuple(tuple(next(seen) for _ in family) for family in families)] = row["n"]
+    model = fit(patterns, tuple(map(len, families)), strength=strength)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
-    return scored.select(doc_out(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality", *votes, *keep)
+    scored = voted.withColumn("quality", posterior_column(model, families)).withColumn("base_failed", failed)
+    kept = [F.col("_kept").getField(c).alias(name) for c, name in beside(keep, (*OWN, *votes)).items()]
+    return scored.select(doc_out(), *OWN[1:7], (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality", *votes, *kept)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import doc_key, doc_out, id_and_text, partitions, ship
+from factloom.llm.common import beside, doc_key, doc_out, id_and_text, partitions, ship
 from factloom.llm.textvec import Words, buffers, mix, slices
 
 GRAM = 8
@@ -371,11 +371,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = GRAM, keep: tup
                 text = pc.if_else(pa.array(removed == 0), part.column(1), pa.array(kept, pa.binary()).cast(part.column(1).type))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), sha, text, *part.columns[3:]], names)
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *keep]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.select(doc_key(), text.alias("text"), F.xxhash64(text).alias("text_hash"), *keep)
-    joined = source.join(marks.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "runs", *keep)
     own = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    schema = T.StructType([*own.fields, *[docs.schema[c] for c in keep]])
+    kept = beside(keep, tuple(own.names))
+    names = [*own.names, *kept.values()]
+    places = [f"_k{i}" for i in range(len(kept))]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(doc_key(), text.alias("text"), F.xxhash64(text).alias("text_hash"), *[F.col(f"`{c}`").alias(k) for c, k in zip(kept, places, strict=True)])
+    joined = source.join(marks, ["doc_id", "text_hash"], "left").select("doc_id", "text", "runs", *places)
+    schema = T.StructType([*own.fields, *[T.StructField(name, docs.schema[c].dataType) for c, name in kept.items()]])
     return joined.mapInArrow(drop, schema).withColumn("doc_id", doc_out())
 
