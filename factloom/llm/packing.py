@@ -2,19 +2,23 @@
 
 Only the number of pieces of each length matters for the plan, and there are at
 most ``capacity`` lengths.  So the plan is made on the driver from a histogram of
-bounded size, in four steps:
+bounded size, in five steps:
 
 1. The large lengths, longest first, are cut into groups of equal cardinality, and
    every length counts as the longest of its group: few sizes are left.
 2. The linear programme over configurations (how many pieces of which sizes go
    into one sequence) is solved by column generation; the values are rounded down.
 3. The actual lengths take the places of their group's size; what a configuration
-   then leaves free is known exactly.
-4. The large pieces that rounding left over and all small pieces go, longest first,
-   each to the fullest sequence that still holds them (best fit).
-
-Sequences that look alike stay together as a run (first sequence, how many), so
-the plan is a short list of intervals however many pieces there are.
+   then leaves free is known exactly.  A sequence that it leaves with more than some
+   slack is taken apart again.
+4. The large pieces that are left are put together by their actual lengths: each time
+   the longest, with those of the others, large or small, that fill its sequence best.
+5. The small pieces that are left go, longest first, each to the fullest sequence that
+   still holds them (best fit).
+
+A few slacks are tried, and the plan of fewest sequences is taken.  Sequences that
+look alike stay together as a run (first sequence, how many), so the plan is a short
+list of intervals however many pieces there are.
 """
 
 from __future__ import annotations
@@ -51,54 +55,113 @@ def linear_groups(counts: dict[int, int], least: int, groups: int) -> list[tuple
     return out
 
 
-def best_configuration(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The configuration of greatest worth (an unbounded knapsack)."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    size = np.asarray(sizes)[order]
-    worth = worth[order]
-    fits = np.searchsorted(size, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        if k := fits[c]:
-            gain = value[c - size[:k]] + worth[:k]
-            best = int(gain.argmax())
-            if gain[best] > value[c] + 1e-12:
-                value[c] = gain[best]
-                choice[c] = best
-    column, c = [0] * len(sizes), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            column[order[choice[c]]] += 1
-            c -= int(size[choice[c]])
-    return float(value[capacity]), column
-
-
-def solve_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 1500) -> list[tuple[list[int], int]]:
-    """Configurations and how often each is used, rounded down, from the linear programme."""
-    k = len(sizes)
-    if not k:
-        return []
-    basis = np.diag([float(capacity // s) for s in sizes])
-    need = np.asarray(demand, dtype=float)
-    for _ in range(rounds):
-        worth = np.linalg.solve(basis.T, np.ones(k))
-        value, column = best_configuration(sizes, np.maximum(worth, 0), capacity)
-        if value <= 1 + 1e-6:
-            break
+class Configurations:
+    """The linear programme over configurations of some sizes, solved by column generation."""
+
+    #: Columns tried for each pricing step, and pivots after which the inverse of the basis is computed afresh.
+    TRIED, FRESH = 12, 40
+
+    def __init__(self, sizes: list[int], capacity: int):
+        self.sizes, self.limit = sizes, capacity
+        room = np.arange(capacity + 1) - np.asarray(sizes, dtype=np.int64)[:, None]
+        self.room = np.where(room < 0, capacity + 1, room)  # the last cell is worth minus infinity
+        self.layers = capacity // min(sizes)
+
+    def best(self, worth: np.ndarray) -> list[tuple[float, list[int]]]:
+        """(worth, configuration) of the configurations that are best among those with a given last size, best first."""
+        gain = worth[:, None]
+        value = np.full(self.limit + 2, -np.inf)
+        value[: self.limit + 1] = 0.0
+        chosen, final = [], None
+        for _ in range(self.layers):
+            found = value[self.room] + gain
+            last = found.argmax(axis=0)
+            most = found[last, np.arange(self.limit + 1)]
+            better = most > value[:-1] + 1e-12
+            final = found[:, -1]
+            if not better.any():
+                break
+            chosen.append(np.where(better, last, -1))
+            value[:-1] = np.maximum(most, value[:-1])
+        if final is None:
+            return []
+        out = []
+        for first in np.argsort(-final, kind="stable")[: self.TRIED].tolist():
+            column = [0] * len(self.sizes)
+            column[first] += 1
+            c, layer = self.limit - self.sizes[first], len(chosen) - 1
+            while layer >= 0 and c > 0:
+                if (k := int(chosen[layer][c])) >= 0:
+                    column[k] += 1
+                    c -= self.sizes[k]
+                layer -= 1
+            out.append((float(np.dot(column, worth)), column))
+        return out
+
+    def solve(self, demand: list[int], gap: float = 1e-5, rounds: int = 4000) -> list[tuple[list[int], float]]:
+        """Configurations and how often each is used.
+
+        It ends when no configuration is worth over 1 + ``gap`` (the solution is then
+        within that share of the least number), or after ``rounds`` pricing steps; a
+        solution that is stopped early is valid too, only longer.
+        """
+        k = len(self.sizes)
+        basis = np.diag([float(self.limit // s) for s in self.sizes])
+        need = np.asarray(demand, dtype=float)
+        inverse, pivots = np.linalg.inv(basis), 0
+        amount = inverse @ need
+        self.rounds = 0
+        for self.rounds in range(1, rounds + 1):
+            columns = self.best(np.maximum(inverse.sum(axis=0), 0))
+            entered = False
+            for _, column in columns:
+                entering = np.asarray(column, dtype=float)
+                if float(inverse.sum(axis=0) @ entering) <= 1 + gap:
+                    continue
+                step = inverse @ entering
+                ratio = np.where(step > 1e-9, np.maximum(amount, 0) / np.where(step > 1e-9, step, 1), np.inf)
+                leaves = int(ratio.argmin())
+                if not np.isfinite(ratio[leaves]):
+                    continue
+                basis[:, leaves] = entering
+                pivots += 1
+                entered = True
+                if pivots % self.FRESH == 0:
+                    inverse = np.linalg.inv(basis)
+                else:
+                    row = inverse[leaves] / step[leaves]
+                    inverse = inverse - np.outer(step, row)
+                    inverse[leaves] = row
+                amount = inverse @ need
+            if not entered:
+                break
         amount = np.linalg.solve(basis, need)
-        step = np.linalg.solve(basis, np.asarray(column, dtype=float))
-        ratio = np.where(step > 1e-9, np.maximum(amount, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        leaves = int(ratio.argmin())
-        if not np.isfinite(ratio[leaves]):
+        return [(basis[:, j].round().astype(int).tolist(), float(amount[j])) for j in range(k) if amount[j] > 1e-9]
+
+
+def fullest(lengths: Counter, capacity: int) -> list[int]:
+    """The longest piece and those of the others that fill its sequence best, by subset sums held as the bits of integers.
+
+    Lengths in ``lengths`` are looked at longest first, so of equal fills the one of longer pieces is found.
+    """
+    first = max(lengths)
+    room = capacity - first
+    reached, states = 1, []
+    for length in sorted(lengths, reverse=True):
+        for _ in range(min(lengths[length] - (length == first), room // length)):
+            more = reached | (reached << length)
+            more &= (1 << (room + 1)) - 1
+            if more != reached:
+                states.append((length, reached))
+                reached = more
+        if reached >> room & 1:
             break
-        basis[:, leaves] = column
-    amount = np.linalg.solve(basis, need)
-    used = [(basis[:, j].round().astype(int).tolist(), int(np.floor(amount[j] + 1e-7))) for j in range(k)]
-    return [(c, n) for c, n in used if n > 0]
+    fill, out = reached.bit_length() - 1, [first]
+    for length, before in reversed(states):
+        if not before >> fill & 1:
+            out.append(length)
+            fill -= length
+    return out
 
 
 class Plan:
@@ -109,14 +172,17 @@ class Plan:
     ``first + i // each`` at ``offset + (i % each) * length``.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int, least: int):
-        if any(not 0 < length <= capacity for length in counts):
-            raise ValueError("a piece is empty or longer than a sequence")
-        self.capacity, self.sequences = capacity, 0
+    def __init__(self, counts: dict[int, int], capacity: int, groups: list[tuple[int, list[tuple[int, int]]]], solved: list[tuple[list[int], float]], least: int, slack: int):
+        """``groups`` (of ``linear_groups``) hold the lengths over ``least``, ``solved`` are their configurations and amounts.
+
+        A configured sequence stays if at most ``slack`` tokens of it are free.
+        """
+        self.capacity, self.sequences, self.slack = capacity, 0, slack
         self.places: dict[int, list[tuple[int, int, int, int]]] = {}
         self._free: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
         left = Counter({length: n for length, n in counts.items() if n})
-        self._configured(linear_groups(left, least, groups), left)
+        self._configured(groups, solved, left)
+        self._filled(left, least)
         for length in sorted(left, reverse=True):
             if left[length]:
                 self._best_fit(length, left[length])
@@ -124,20 +190,37 @@ class Plan:
     def _put(self, length: int, pieces: int, first: int, each: int, offset: int) -> None:
         self.places.setdefault(length, []).append((pieces, first, each, offset))
 
-    def _configured(self, groups: list[tuple[int, list[tuple[int, int]]]], left: Counter) -> None:
+    def _configured(self, groups: list[tuple[int, list[tuple[int, int]]]], solved: list[tuple[list[int], float]], left: Counter) -> None:
         sizes = [size for size, _ in groups]
         demand = [sum(n for _, n in members) for _, members in groups]
         queues = [list(reversed(members)) for _, members in groups]
         open_demand = list(demand)
-        for column, times in solve_configurations(sizes, demand, self.capacity):
+        for column, amount in sorted(solved, key=lambda x: -sum(s * n for s, n in zip(sizes, x[0], strict=True))):
             slots = [g for g, n in enumerate(column) for _ in range(n)]
-            times = min([times, *(open_demand[g] // n for g, n in enumerate(column) if n)])
+            times = min([int(amount + 1e-7), *(open_demand[g] // n for g, n in enumerate(column) if n)])
             if not times or sum(sizes[g] for g in slots) > self.capacity:
                 continue
             for g, n in enumerate(column):
                 open_demand[g] -= n * times
             self._fill_slots([self._take(queues[g], times) for g in slots], times, left)
 
+    def _filled(self, left: Counter, least: int) -> None:
+        """Sequences of the large pieces that are left, each of a set that fills it best; smaller pieces fill up."""
+        have = +left
+        while have and (first := max(have)) > least:
+            column = Counter(fullest(have, self.capacity))
+            times = min(have[length] // n for length, n in column.items())
+            offset = 0
+            for length, n in sorted(column.items(), reverse=True):
+                self._put(length, n * times, self.sequences, n, offset)
+                offset += n * length
+                left[length] -= n * times
+                have[length] -= n * times
+                if not have[length]:
+                    del have[length]
+            self._free[self.capacity - offset].append((self.sequences, times))
+            self.sequences += times
+
     @staticmethod
     def _take(queue: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
         out = []
@@ -155,17 +238,20 @@ class Plan:
         stacks = [list(reversed(s)) for s in slots]
         while times:
             run = min(s[-1][1] for s in stacks)
-            offset = 0
-            for length, same in sorted(Counter(s[-1][0] for s in stacks).items(), reverse=True):
-                self._put(length, run * same, self.sequences, same, offset)
-                left[length] -= run * same
-                offset += same * length
+            column = Counter(s[-1][0] for s in stacks)
+            offset = sum(length * n for length, n in column.items())
+            if self.capacity - offset <= self.slack:
+                offset = 0
+                for length, same in sorted(column.items(), reverse=True):
+                    self._put(length, run * same, self.sequences, same, offset)
+                    left[length] -= run * same
+                    offset += same * length
+                self._free[self.capacity - offset].append((self.sequences, run))
+                self.sequences += run
             for s in stacks:
                 length, n = s.pop()
                 if n > run:
                     s.append((length, n - run))
-            self._free[self.capacity - offset].append((self.sequences, run))
-            self.sequences += run
             times -= run
 
     def _best_fit(self, length: int, pieces: int) -> None:
@@ -211,6 +297,28 @@ class Plan:
         return tuple(np.asarray(x, dtype=np.int64) for x in (keys, firsts, eaches, offsets))
 
 
+#: Shares of a sequence that a configuration may leave free.
+SLACKS = (0.001, 0.016, 1.0)
+
+
+def best_plan(counts: dict[int, int], capacity: int, groups: int, least: int) -> Plan:
+    """Of the plans for the SLACKS the one of fewest sequences."""
+    if any(not 0 < length <= capacity for length in counts):
+        raise ValueError("a piece is empty or longer than a sequence")
+    grouped = linear_groups(counts, least, groups)
+    programme = Configurations([size for size, _ in grouped], capacity) if grouped else None
+    solved = programme.solve([sum(n for _, n in members) for _, members in grouped]) if programme else []
+    bound = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best = None
+    for share in SLACKS if solved else SLACKS[-1:]:
+        plan = Plan(counts, capacity, grouped, solved, least, int(share * capacity))
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == bound:
+            break
+    return best
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece, with its task and its rank among the task's pieces of that length."""
 
@@ -243,7 +351,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, groups: int = 96, least_share: float = 1 / 3) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, groups: int = 64, least_share: float = 1 / 6) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and ``end_id``; only one longer than ``capacity`` is
@@ -253,15 +361,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     place.  The driver receives at most ``capacity`` counts and broadcasts the
     plan's intervals, whose number depends on ``capacity`` and ``groups`` alone.
 
-    A null or empty text is the ``end_id`` alone.  Rows that repeat or share an id
-    are packed each for itself; null ids come back as null.  No documents: no rows.
+    A null or empty text is the ``end_id`` alone; a very long one gives as many pieces
+    as it needs.  Rows that repeat or share an id are packed each for itself; null ids
+    come back as null.  No documents: no rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     pieces = written(spark, tokenised_pieces(id_and_text(docs), tokenizer, capacity, end_id), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = Plan(histogram, capacity, groups, int(capacity * least_share))
+    plan = best_plan(histogram, capacity, groups, int(capacity * least_share))
     intervals = spark.sparkContext.broadcast(plan.arrays())
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

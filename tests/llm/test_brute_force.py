@@ -1,5 +1,6 @@
 """The operators against plain Python on small tables with odd rows, and their queries against DuckDB or plain Python."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -7,7 +8,7 @@ import re
 import sys
 from array import array
 from collections import Counter, defaultdict
-from itertools import product
+from itertools import combinations, product
 from pathlib import Path
 from zlib import crc32
 
@@ -128,14 +129,46 @@ def test_pack(docs, pairs):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(by) <= 1.05 * -(-sum(r.length for r in got) // 256) + 2
-
-
-@pytest.mark.parametrize("n,seed", [(1, 1), (7, 2), (300, 3), (3000, 4)])
-def test_plan(n, seed):
-    r = random.Random(seed)
-    lengths = Counter(min(512, max(1, int(r.lognormvariate(4.8, 1.1)))) for _ in range(n))
-    plan = packing.Plan(dict(lengths), 512, 24, 170)
+    assert len(by) <= best_fit_decreasing([r.length for r in got], 256)
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Sequences that plain best fit, longest first, needs."""
+    free, at, n = Counter(), [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(at, x)
+        if i == len(at):
+            n, rest = n + 1, capacity - x
+        else:
+            rest = at[i] - x
+            free[at[i]] -= 1
+            if not free[at[i]]:
+                at.pop(i)
+        if rest:
+            if not free[rest]:
+                bisect.insort(at, rest)
+            free[rest] += 1
+    return n
+
+
+DISTRIBUTIONS = {
+    "long tail": lambda r: min(2048, max(1, int(r.lognormvariate(5.8, 1.1)))),
+    "400 to 1100": lambda r: r.randint(400, 1100),
+    "any": lambda r: r.randint(1, 2048),
+    "near halves": lambda r: r.randint(700, 1400),
+    "few lengths": lambda r: r.choice([341, 512, 683, 700, 1024, 1300]),
+    "small": lambda r: r.randint(1, 200),
+    "300 to 700": lambda r: r.randint(300, 700),
+}
+
+
+@pytest.mark.parametrize("name", DISTRIBUTIONS)
+@pytest.mark.parametrize("n", [1, 40, 6000])
+def test_plan(name, n):
+    """No more sequences than best fit decreasing; every piece has its own place, without gaps."""
+    r = random.Random(n)
+    lengths = Counter(DISTRIBUTIONS[name](r) for _ in range(n))
+    plan = packing.best_plan(dict(lengths), 2048, 64, 341)
     fill, spans = Counter(), []
     for length, places in plan.places.items():
         assert sum(p[0] for p in places) == lengths[length]
@@ -144,11 +177,35 @@ def test_plan(n, seed):
     for sequence, offset, length in sorted(spans):
         assert fill[sequence] == offset
         fill[sequence] += length
-    assert max(fill.values()) <= 512 and len(fill) == plan.sequences
-    least = -(-sum(k * v for k, v in lengths.items()) // 512)
-    assert plan.sequences <= least * 1.04 + 2
+    assert max(fill.values()) <= 2048 and len(fill) == plan.sequences
+    assert plan.sequences <= best_fit_decreasing(list(lengths.elements()), 2048)
+
+
+def test_configurations():
+    """Column generation ends by itself, at the least value that the programme has."""
+    programme = packing.Configurations([60, 50, 40, 30], 100)
+    solved = programme.solve([10, 20, 30, 40])
+    assert abs(sum(x for _, x in solved) - 40.0) < 0.01 and programme.rounds < 4000  # 4000 tokens in all
+    assert all(sum(a * s for a, s in zip(c, [60, 50, 40, 30], strict=True)) <= 100 for c, _ in solved)
+    r = random.Random(3)
+    counts = Counter(r.randint(342, 2048) for _ in range(9000))
+    groups = packing.linear_groups(counts, 341, 64)
+    programme = packing.Configurations([s for s, _ in groups], 2048)
+    programme.solve([sum(n for _, n in m) for _, m in groups])
+    assert programme.rounds < 4000
     with pytest.raises(ValueError):
-        packing.Plan({513: 1}, 512, 4, 10)
+        packing.best_plan({513: 1}, 512, 4, 10)
+
+
+def test_fullest():
+    r = random.Random(2)
+    for _ in range(200):
+        have = Counter(r.randint(1, 60) for _ in range(r.randint(1, 9)))
+        capacity = 60
+        pieces = sorted(have.elements(), reverse=True)
+        best = max(pieces[0] + s for k in range(len(pieces)) for c in combinations(pieces[1:], k) if pieces[0] + (s := sum(c)) <= capacity)
+        got = packing.fullest(have, capacity)
+        assert sum(got) == best and not Counter(got) - have and got[0] == pieces[0]
 
 
 def brute_repeats(pairs, width):
