@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from factloom.llm.common import doc_out, id_and_text, ship
 from factloom.llm.memo import Memo
+from factloom.llm.splitting import splitter
 
 #: Pre-tokens remembered per process, in each of two generations.
 MEMO_ENTRIES = 200_000
@@ -154,28 +155,9 @@ def codec(path: str) -> BytePairCodec:
     return BytePairCodec(read_ranks(path))
 
 
-@lru_cache(maxsize=2)
-def _library(path: str, pattern: str):
-    import tiktoken
-
-    ranks = {t: i for i, t in enumerate(read_ranks(path))}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def encode_text(text: str, path: str, pattern: str) -> tuple[list[int], str]:
-    """(ids, decimal ids joined by commas) of a whole text.
-
-    A text with code points on which the installed Unicode tables disagree is
-    split by the tiktoken library itself.
-    """
-    import regex
-
-    from factloom.llm.tokens import UNSAFE
-
-    if UNSAFE.search(text):
-        ids = _library(path, pattern).encode_ordinary(text)
-        return ids, ",".join(map(str, ids))
-    found = list(map(codec(path).pieces.__getitem__, regex.findall(pattern, text)))
+    """(ids, decimal ids joined by commas) of a whole text, all of them by ``BytePairCodec``."""
+    found = list(map(codec(path).pieces.__getitem__, splitter(pattern).find(text)))
     return [i for ids, _ in found for i in ids], ",".join([s for _, s in found])
 
 
@@ -183,8 +165,9 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode each text and decode the ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     No shuffle: one pass over the documents.  A null or empty text has no ids (the
-    digests are those of the empty string).  Each input row gives one row, also
-    where ids repeat or are null; other columns are ignored.
+    digests are those of the empty string); a text of any length is encoded whole.
+    Each input row gives one row, also where ids repeat or are null; other columns are
+    ignored.  No documents: no rows.
     """
     ship(docs.sparkSession)
 

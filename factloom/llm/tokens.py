@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
-from operator import mul
 from collections import Counter
 
 import public_tokenizers
@@ -17,12 +16,10 @@ import regex
 from tokenizers import Tokenizer
 
 from factloom.llm.memo import Memo
+from factloom.llm.splitting import splitter
 
 #: Pre-tokens remembered per process, in each of two generations.
 MEMO_ENTRIES = 300_000
-#: Outside these code points the libraries' Unicode tables differ in age; such
-#: texts go through the library whole.
-UNSAFE = regex.compile("[^\u0000-՗ -₎ぁ-ゖァ-ヺ一-龥가-힣]")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -42,13 +39,9 @@ class PreTokenEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.find = splitter(public_tokenizers.PATTERN).find
         self.model = self.tokenizer.model
         self.ids_of = Memo(lambda piece: array("I", [t.id for t in self.pieces(piece)]).tobytes(), MEMO_ENTRIES)
-        self.count_of = Memo(lambda piece: len(self.pieces(piece)), MEMO_ENTRIES)
-
-    def library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def pieces(self, pre_token: str) -> list:
         """The library's tokens of one pre-token: its BPE model alone, as the text is split already."""
@@ -62,8 +55,6 @@ class PreTokenEncoder:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if UNSAFE.search(text):
-            return array("I", self.library(text)).tobytes()
         parts = []
         for i, segment in enumerate(self._segments(text)):
             if i % 2:
@@ -72,18 +63,15 @@ class PreTokenEncoder:
                 parts += map(self.ids_of.__getitem__, self.find(segment))
         return b"".join(parts)
 
-    def count(self, text: str) -> int:
-        """Pre-token frequencies of the text, joined to the count of each distinct pre-token, summed."""
-        if UNSAFE.search(text):
-            return len(self.library(text))
-        total = 0
-        for i, segment in enumerate(self._segments(text)):
-            if i % 2:
-                total += 1
-            else:
-                frequency = Counter(self.find(segment))
-                total += sum(map(mul, frequency.values(), map(self.count_of.__getitem__, frequency)))
-        return total
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        """How often each pre-token occurs in the text, and the number of its special strings."""
+        segments = self._segments(text)
+        if len(segments) == 1:
+            return Counter(self.find(text)), 0
+        found: Counter = Counter()
+        for segment in segments[::2]:
+            found.update(self.find(segment))
+        return found, len(segments) // 2
 
 
 @lru_cache(maxsize=4)

@@ -14,12 +14,14 @@ from zlib import crc32
 
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from helpers import connection, rows  # noqa: E402
 
-from factloom.llm import bpe, chat, components, fingerprints, jaccard, packing, quality, queries, sharding, substrings, token_counts, token_files, tokens  # noqa: E402
+from factloom.llm import bpe, chat, components, fingerprints, jaccard, packing, quality, queries, sharding, splitting, substrings, token_counts, token_files, tokens  # noqa: E402
 from factloom.llm.common import table  # noqa: E402
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,8 +69,13 @@ def pairs():
     return [(r[0], r[1] or "") for r in documents()]
 
 
+TOKENIZER = Tokenizer.from_file(BYTE_BPE)
+_ranks = {t: i for i, t in enumerate(bpe.read_ranks(RANKS))}
+LIBRARY = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks, special_tokens={})
+
+
 def ids_of(text):
-    return tokens.encoder(BYTE_BPE).library(text)
+    return TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def raw(ids):
@@ -85,22 +92,42 @@ def test_empty_tables(empty):
 
 
 def test_library_agreement():
-    """The fast paths give the libraries' ids, at every code point that they take."""
-    e, lib = tokens.encoder(BYTE_BPE), bpe._library(RANKS, public_tokenizers.PATTERN)
-    safe = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not tokens.UNSAFE.search(chr(c))]
-    for i in range(0, len(safe), 300):
-        text = "".join(f"a{c}b 1{c}2 !{c}  {c}\n" for c in safe[i : i + 300])
-        assert e.ids(text) == raw(e.library(text))
-        assert bpe.encode_text(text, RANKS, public_tokenizers.PATTERN)[0] == lib.encode_ordinary(text)
+    """The own splitting and encoding give the libraries' ids: where Unicode tables differ, in the first 0x600 code points, and at every 53rd of the others."""
+    e = tokens.encoder(BYTE_BPE)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = sorted(splitting.splitter(public_tokenizers.PATTERN).odd)
+    tried = sorted({*every[:0x600], *every[::53], *odd[::7]})
+    for i in range(0, len(tried), 3000):
+        text = "".join(f"a{c}b 1{c}2 !{c}  {c}\n" for c in tried[i : i + 3000])
+        assert e.ids(text) == raw(ids_of(text))
+        assert bpe.encode_text(text, RANKS, public_tokenizers.PATTERN)[0] == LIBRARY.encode_ordinary(text)
     r = random.Random(5)
     for _ in range(2000):
-        text = "".join(r.choices(safe[:400] + ["<|endoftext|>", " ", "'s", "\U00010941"], k=r.randrange(25)))
-        assert e.ids(text) == raw(e.library(text)) and e.count(text) == len(e.library(text))
+        text = "".join(r.choices(every[:400] + r.choices(every, k=20) + r.choices(odd, k=20) + ["<|endoftext|>", " ", "'s", "\U00010941", "\u3002", "\uff0c", "\U0001f389", "\U0001f468\u200d\U0001f469"], k=r.randrange(25)))
+        assert e.ids(text) == raw(ids_of(text))
+        found, special = e.frequencies(text)
+        assert special + sum(n * len(e.pieces(p)) for p, n in found.items()) == len(ids_of(text))
         ids, decimal = bpe.encode_text(text, RANKS, public_tokenizers.PATTERN)
-        assert ids == lib.encode_ordinary(text) and decimal == ",".join(map(str, ids))
+        assert ids == LIBRARY.encode_ordinary(text) and decimal == ",".join(map(str, ids))
         assert bpe.codec(RANKS).decode(ids) == text.encode()
 
 
+def test_own_codec_for_every_text(monkeypatch):
+    """No text is handed to a library whole."""
+    texts = ["emoji \U0001f389\U0001f468\u200d\U0001f469", "\u4f60\u597d\u3002\uff0c\u4e16\u754c", "\u0939\u093f\u0928\u094d\u0926\u0940 \u0645\u0631\u062d\u0628\u0627", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35", "".join(sorted(splitting.splitter(public_tokenizers.PATTERN).odd)[:300])]
+    want = [(LIBRARY.encode_ordinary(t), ids_of(t)) for t in texts]
+
+    def refuse(*_, **__):
+        raise AssertionError("the library encodes a text")
+
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", refuse)
+    monkeypatch.setattr(tiktoken.Encoding, "encode", refuse)
+    assert not hasattr(tokens.encoder(BYTE_BPE), "library")
+    for t, (multi, single) in zip(texts, want, strict=True):
+        assert bpe.encode_text(t, RANKS, public_tokenizers.PATTERN)[0] == multi
+        assert tokens.encoder(BYTE_BPE).ids(t) == raw(single)
+
+
 def test_memo_is_bounded():
     from factloom.llm.memo import Memo
 
@@ -310,8 +337,9 @@ def test_fingerprints(docs, pairs):
 
 
 def test_token_counts(docs, pairs):
-    got = Counter(tuple(r) for r in token_counts.token_counts(docs, BYTE_BPE, 512).collect())
-    assert got == Counter((d, len(t.encode()), len(ids_of(t)), len(ids_of(t)) > 512) for d, t in pairs)
+    want = Counter((d, len(t.encode()), len(ids_of(t)), len(ids_of(t)) > 512) for d, t in pairs)
+    for frequent in (200_000, 50, 0):  # all from the broadcast, some joined, all joined
+        assert Counter(tuple(r) for r in token_counts.token_counts(docs, BYTE_BPE, 512, frequent).collect()) == want
 
 
 def test_shards(docs, pairs):
@@ -586,12 +614,11 @@ def test_queries_without_sql(spark, sf):
     """Queries that SQL can't express, over the whole of the smallest table."""
     texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
     q = {n: [r for r in f(spark, sf).collect()] for n, f in queries.QUERIES.items() if n not in queries.ORACLE_SQL and n != "pipeline"}
-    lib = bpe._library(RANKS, public_tokenizers.PATTERN)
     for r in q["op5_token_counts"]:
         n = len(ids_of(texts[r.doc_id]))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
     for r in q["op9_bpe"]:
-        ids, data = lib.encode_ordinary(texts[r.doc_id]), texts[r.doc_id].encode()
+        ids, data = LIBRARY.encode_ordinary(texts[r.doc_id]), texts[r.doc_id].encode()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(data).hexdigest())
     at = 0
     for r in sorted(q["op3_token_files"], key=lambda r: r.doc_id):
