@@ -120,6 +120,34 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: A key with more rows than this, and than this share of all rows, is hot.
+HOT_ROWS, HOT_SHARE = 1000, 1e-4
+
+
+def hot_keys(counted: DataFrame, rows: str, total: int) -> Column:
+    """Whether the key of a row of ``counted`` has so many ``rows`` that it is hot; at most 1 / HOT_SHARE keys are."""
+    return F.col(rows) > F.lit(max(HOT_ROWS, int(total * HOT_SHARE)))
+
+
+def is_even(most: int | None, total: int | None) -> bool:
+    """Whether no key is hot, given the most rows of a key (None: no rows)."""
+    return most is None or most <= max(HOT_ROWS, int((total or 0) * HOT_SHARE))
+
+
+def join_counted(left: DataFrame, counted: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner, left or left_semi) with ``counted``, which has one row for each key and tells the rows of ``left`` that have it.
+
+    The hot keys, at most 1 / HOT_SHARE of them, are broadcast, so that their rows stay
+    where they are; the others are joined by a shuffle in which no key stands out.
+    ``total`` is the number of rows of ``left``.  ``left`` is read twice, so it should be
+    a written table or one whose last shuffle can be reused.
+    """
+    hot = F.broadcast(counted.where(hot_keys(counted, rows, total)))
+    near = left.join(hot, keys, "left_semi" if how == "left_semi" else "inner")
+    far = left.join(hot.select(*keys), keys, "left_anti").join(counted.where(~hot_keys(counted, rows, total)), keys, how)
+    return near.unionByName(far)
+
+
 def beside(keep: tuple[str, ...], own: tuple[str, ...]) -> dict[str, str]:
     """The result's name of each kept column: its own, or with ``in_`` before it (as often as needed) where that is taken."""
     taken, out = {c.lower() for c in own}, {}

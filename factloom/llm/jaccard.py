@@ -24,22 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, doc_out, id_and_text, partitions, release, ship, written
+from factloom.llm.common import discard, doc_out, hot_keys, id_and_text, join_counted, partitions, release, ship, written
 from factloom.llm.components import components
 from factloom.llm.textvec import buffers, mix, shingle_sets, slices
 
-MIN_BITS, MAX_BITS = 64, 4096
+MIN_BITS = 64
 #: A group up to this size is one leaf; all of its pairs are looked at, without a tree.
 LEAF = 16
 #: A group up to this size gives all of its candidates in the first round.
 FEW = 4
 #: Sets in one block of a larger group.
 GROUP = 512
-#: A shingle in more prefixes than this is put last in the order; at most this many shingles are.
+#: A shingle in more prefixes than this is put last in the order; at most this many shingles are (a broadcast of 32 MB).
 FREQUENT = 100
-FREQUENT_KEPT = 1 << 16
-#: Bits of the filter on ids whose sets are computed again for the comparison.
-FILTER_BITS = 22
+FREQUENT_KEPT = 1 << 22
+#: The filter on ids whose sets are computed again for the comparison has 8 bits for each id, up to this many (32 MB); for
+#: more ids the texts are joined to them instead.
+FILTER_BITS_MOST = 1 << 28
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -47,9 +48,9 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per hashed shingle; twice as many bits as shingles, rounded up to a power of two."""
+    """One bit per hashed shingle; twice as many bits as shingles, rounded up to a power of two, however many there are."""
     bits = MIN_BITS
-    while bits < 2 * len(hashes) and bits < MAX_BITS:
+    while bits < 2 * len(hashes):
         bits *= 2
     out = np.zeros(bits, dtype=bool)
     out[((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -91,13 +92,14 @@ class Sets:
         sa, sb = self.sizes[a], self.sizes[b]
         out = 100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)
         at = np.flatnonzero(out)
-        code = self.words[a[at]] * 1024 + self.words[b[at]]
+        code = (self.words[a[at]] << 32) + self.words[b[at]]
         for c in np.unique(code):
             here = at[code == c]
-            wa, wb = divmod(int(c), 1024)
+            wa, wb = int(c) >> 32, int(c) & 0xFFFFFFFF
             w = min(wa, wb)
-            for lo in range(0, len(here), 1 << 16):
-                part = here[lo : lo + (1 << 16)]
+            step = max(1, (1 << 22) // max(wa, wb))
+            for lo in range(0, len(here), step):
+                part = here[lo : lo + step]
                 x = fold(self.by_width[wa][self.row[a[part]]], w)
                 y = fold(self.by_width[wb][self.row[b[part]]], w)
                 only_x = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
@@ -232,10 +234,10 @@ def prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFr
     """
     spark = texts.sparkSession
     counts = nodes.select(F.explode("prefix").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
-    top = [r.sig for r in counts.orderBy(F.desc("n"), "sig").limit(FREQUENT_KEPT).collect()]
+    top = counts.orderBy(F.desc("n"), "sig").limit(FREQUENT_KEPT).select("sig").toArrow().column(0).to_numpy()
     del counts  # or its shuffle files would stay
     release(spark)
-    known = spark.sparkContext.broadcast(np.sort(np.asarray(top, dtype=np.int64).view(np.uint64)))
+    known = spark.sparkContext.broadcast(np.sort(np.ascontiguousarray(top, dtype=np.int64).view(np.uint64)))
 
     def lists(sigs, sizes):
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(sigs))
@@ -269,7 +271,7 @@ def prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), lists(np.concatenate(sigs), [len(x) for x in sigs])], ["id", "prefix"])
 
     rows = nodes.select(F.col("doc_id").alias("id"), "prefix").mapInArrow(plain, "id long, prefix array<long>")
-    if not top:
+    if not len(top):
         return rows
     return rows.unionByName(texts.mapInArrow(again, "id long, prefix array<long>"))
 
@@ -348,41 +350,79 @@ def _candidates(grouped: DataFrame, percent: int, across: bool) -> DataFrame:
 def verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that reach the similarity, comparing their whole sets.
 
-    Sets are computed again for the ids in ``pairs`` only: a fixed filter of
-    2**FILTER_BITS bits on hashed ids goes to the tasks that read the texts, and the
-    join then is exact.
+    Sets are computed again for the ids in ``pairs`` only.  A filter of 8 bits an id, on
+    hashed ids, goes to the tasks that read the texts, up to FILTER_BITS_MOST; for more
+    ids the texts are joined to them.  The join of sets and pairs is exact either way.
     """
     spark = texts.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot("id").alias("slot")).distinct()
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    bits[slots.toArrow().column("slot").to_numpy()] = True
-    wanted = spark.sparkContext.broadcast(bits)
+    ids = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    bits = 1 << max(10, (8 * ids.count()).bit_length())
+    filtered = bits <= FILTER_BITS_MOST
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    if filtered:
+        mask = np.zeros(bits, dtype=bool)
+        for part in ids.select(slot("id").alias("slot")).distinct().toArrow().column("slot").chunks:
+            mask[part.to_numpy(zero_copy_only=False)] = True
+        wanted = spark.sparkContext.broadcast(np.packbits(mask))
+        source = texts.select("doc_id", "text", slot("doc_id").alias("slot"))
+    else:
+        wanted = None
+        source = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("slot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm import jaccard as j
 
         for batch in batches:
-            at = np.flatnonzero(wanted.value[batch.column(2).to_numpy(zero_copy_only=False)])
-            if not len(at):
+            part = batch
+            if wanted is not None:
+                slots = batch.column(2).to_numpy(zero_copy_only=False)
+                part = batch.take(pa.array(np.flatnonzero((wanted.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1)))
+            if not len(part):
                 continue
-            part = batch.take(pa.array(at))
             data, offsets = j.buffers(part.column(1))
             for lo, hi in j.slices(offsets):
                 values, edges = j.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), lists], ["id", "shingles"])
 
-    sets = written(spark, texts.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "id long, shingles array<long>"), "sets")
+    sets = written(spark, source.mapInArrow(run, "id long, shingles array<long>"), "sets")
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     second = first.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     similar = second.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
     similar = written(spark, similar, "similar")
-    discard(sets)
+    discard(sets, ids)
     return similar
 
 
+def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, id) of every row (sig, id) whose sig has another row; rows come sorted, so the first id of a sig is the least.
+
+    Only the last sig, its first id and whether that one was given stay in memory.
+    """
+    last, first, alone = None, 0, False
+    for batch in batches:
+        if not len(batch):
+            continue
+        sig, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.r_[sig[0] != last if last is not None else True, sig[1:] != sig[:-1]]
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        heads = ids[begin] if len(begin) else np.zeros(0, np.int64)
+        hub = np.where(group >= 0, heads[np.maximum(group, 0)] if len(heads) else first, first)
+        rest = ~new
+        out_hub, out_id = hub[rest], ids[rest]
+        follows = np.flatnonzero(np.r_[rest[1:], False] & new)  # heads with a second row in this batch
+        out_hub, out_id = np.concatenate((out_hub, ids[follows])), np.concatenate((out_id, ids[follows]))
+        if rest[0] and alone:
+            out_hub, out_id = np.append(out_hub, first), np.append(out_id, first)
+        alone = bool(new[-1]) if len(begin) else (alone and not rest[0])
+        if len(begin):
+            first = int(heads[-1])
+        last = sig[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(out_hub, pa.int64()), pa.array(out_id, pa.int64())], ["hub", "id"])
+
+
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Components of the documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -404,25 +444,30 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     ship(spark)
     texts = id_and_text(docs)
     every = written(spark, set_nodes(texts, k, percent), "sets-of-texts")
-    classes = every.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = written(spark, every.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    total = every.count()
+    keys = ["d1", "d2", "n_shingles"]
+    classes = written(spark, every.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    members = join_counted(every.select("doc_id", *keys), classes, keys, "copies", total, "left") if total else every.select("doc_id", *keys, F.col("doc_id").alias("rep"))
+    members = written(spark, members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("id")).distinct()
 
-    # Everything that shares a shingle of a prefix with the least id among those that do, once.
-    # Copies of a set share all of its shingles, so its representative is in each of their groups and they can go later.
-    dealt = prefixes(texts, every, k, percent).select(F.explode("prefix").alias("sig"), "id").repartition(partitions(spark), "sig")
-    shared = dealt.groupBy("sig").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
-    rows = dealt.join(shared, "sig").select("hub", "id").distinct().join(reps, "id", "left_semi")
+    # Everything that shares a shingle of a prefix with the least id among those that do.  A class's first document is in
+    # each group of its copies: those of large classes leave at once, the others with the join that is needed anyway.
+    hot = F.broadcast(classes.where(hot_keys(classes, "copies", total)).select(*keys, "rep"))
+    nodes = every.join(hot, keys, "left").where("rep is null or rep = doc_id").drop("rep")
+    dealt = prefixes(texts, nodes, k, percent).select(F.explode("prefix").alias("sig"), "id").repartition(partitions(spark), "sig").sortWithinPartitions("sig", "id")
+    rows = dealt.mapInArrow(hubs, "hub long, id long").distinct().join(reps, "id", "left_semi")
     first_rows = written(spark, rows.join(every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct(), "id"), "groups")
     release(spark)
 
     # A set stays in a group only if the group has another one whose size allows the similarity.
     step = 1.001 * math.log(100 / percent) if percent < 100 else 1.0
-    rows = first_rows.withColumn("size", F.floor(F.log("n") / step).cast("int"))
-    near = rows.groupBy("hub", "size").agg(F.count("*").alias("m")).select("hub", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)).alias("size"), "m").groupBy("hub", "size").agg(F.sum("m").alias("m")).where("m > 1").select("hub", "size")
-    rows = rows.join(near, ["hub", "size"], "left_semi").select("hub", "id")
-    sizes = rows.groupBy("hub").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1")
-    rows = written(spark, rows.join(sizes, "hub").select(F.col("hub").alias("group_id"), F.col("first").alias("hub"), "id", "m"), "groups")
+    sized = first_rows.withColumn("size", F.floor(F.log("n") / step).cast("int"))
+    n_rows = first_rows.count()
+    near = sized.groupBy("hub", "size").agg(F.count("*").alias("m")).select("hub", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)).alias("size"), "m").groupBy("hub", "size").agg(F.sum("m").alias("m")).where("m > 1")
+    rows = written(spark, join_counted(sized, near, ["hub", "size"], "m", n_rows, "left_semi").select("hub", "id"), "groups")
+    groups = written(spark, rows.groupBy("hub").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1").select(F.col("hub").alias("group_id"), F.col("first").alias("hub"), "m"), "groups")
+    rows = written(spark, join_counted(rows.select(F.col("hub").alias("group_id"), "id"), groups, ["group_id"], "m", n_rows).select("group_id", "hub", "id", "m"), "groups")
     described = every.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap").join(rows.select("id").distinct(), "id", "left_semi")
     described = written(spark, described, "bitmaps")
     discard(every, first_rows)
@@ -437,12 +482,12 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     roots = components(links)
     release(spark)
 
-    label = rows.where(F.col("m") > min(FEW, GROUP)).join(roots, "id", "left").select("group_id", "hub", "id", F.coalesce("root", "id").alias("label"))
-    hubs = roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root"))
-    label = label.join(hubs, "hub", "left").select("group_id", "id", "label", (F.col("label") != F.coalesce("hub_root", "hub")).alias("outside"))
-    label = written(spark, label, "labels")
-    mixed = label.groupBy("group_id").agg(F.count("*").alias("m"), F.sum(F.col("outside").cast("long")).alias("o")).where("o > 0")
-    split = label.join(mixed, "group_id").withColumn("rows", F.ceil(F.col("m") / GROUP).cast("int")).withColumn("columns", F.ceil(F.col("o") / GROUP).cast("int"))
+    # Of each group the sets outside the component of its first.
+    heads = groups.where(F.col("m") > min(FEW, GROUP)).join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").select("group_id", "m", F.coalesce("hub_root", "hub").alias("hub_root"))
+    label = rows.where(F.col("m") > min(FEW, GROUP)).join(roots, "id", "left").select("group_id", "id", F.coalesce("root", "id").alias("label"))
+    label = written(spark, join_counted(label, heads, ["group_id"], "m", n_rows).select("group_id", "id", "label", "m", (F.col("label") != F.col("hub_root")).alias("outside")), "labels")
+    mixed = label.groupBy("group_id").agg(F.first("m").alias("m"), F.sum(F.col("outside").cast("long")).alias("o")).where("o > 0")
+    split = join_counted(label.drop("m"), mixed, ["group_id"], "m", n_rows).withColumn("rows", F.ceil(F.col("m") / GROUP).cast("int")).withColumn("columns", F.ceil(F.col("o") / GROUP).cast("int"))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     whole = split.select("group_id", "id", "label", place("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"))
     rest = split.where("outside").select("group_id", "id", "label", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), place("columns").alias("j"), F.lit(1).alias("side"))
@@ -451,9 +496,9 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     if more.isEmpty():
         all_roots = roots
     else:
-        all_roots = components(links.unionByName(found := verified(texts, more, k, percent)))
+        all_roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found := verified(texts, more, k, percent)))
         discard(found)
-    discard(rows, described, pairs, links, label, more)
+    discard(rows, groups, classes, described, pairs, links, label, more)
     release(spark)
     reached = all_roots.select(F.col("id").alias("rep"), "root")
     out = members.join(reached, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))

@@ -422,6 +422,46 @@ def test_tree_is_complete():
     assert len(jaccard.tree_candidates(same, every, every, 85)[0]) == 0
 
 
+def test_large_disjoint_sets():
+    """Bitmaps grow with the sets, so disjoint sets of 20,000 shingles in one group give no candidates."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    made = [np.sort(r.integers(0, 2**63, size=20_000, dtype=np.uint64)) for _ in range(40)]
+    sets = jaccard.Sets(np.array([len(m) for m in made]), np.arange(40), [jaccard.bitmap(m) for m in made])
+    every = np.arange(40)
+    assert len(jaccard.tree_candidates(sets, every, every, 85)[0]) == 0
+    a, b = np.triu_indices(40, 1)
+    assert not sets.similar(a, b, 85).any()
+
+
+def test_hubs():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = sorted((r.randrange(30), r.randrange(1000)) for _ in range(60)) + [(40, 1)]
+    least, seen = {}, Counter(s for s, _ in rows)
+    for s, i in rows:
+        least.setdefault(s, i)
+    want = sorted((least[s], i) for s, i in rows if seen[s] > 1)
+    for size in (1, 2, 7, 61):
+        parts = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[at : at + size]], pa.int64()) for k in (0, 1)], ["sig", "id"]) for at in range(0, len(rows), size)]
+        got = [(h, i) for b in jaccard.hubs(iter(parts)) for h, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert sorted(got) == want
+
+
+def test_hot_keys(spark, docs, pairs, monkeypatch):
+    """Results are the same where hot keys are broadcast: limits so low that most keys are hot."""
+    from factloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "FILTER_BITS_MOST", 1)  # and sets are joined, not filtered
+    monkeypatch.setattr(jaccard, "LEAF", 2)
+    assert Counter(tuple(r) for r in jaccard.similar_components(docs, 4, 85).collect()) == brute_components(pairs, 4, 85)
+
+
 def test_graph(spark):
     r = random.Random(9)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000)]
