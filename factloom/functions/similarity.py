@@ -60,16 +60,22 @@ def whole_score(a: str, b: str) -> float:
     return max(SEQUENCE_WEIGHT * max(ratio(x, y), ratio(in_order(x), in_order(y))) + TRIGRAM_WEIGHT * gram_overlap(x, y) for x, y in forms)
 
 
+def token_likeness(a: str, b: str) -> float:
+    """The best of three: the words as they are, with runs collapsed, and by their trigrams."""
+    return max(ratio(a, b), ratio(runs_collapsed(a), runs_collapsed(b)), gram_overlap(a, b))
+
+
 def token_score(mention: str, candidate: str) -> float:
     """How well every longer word of the mention is found among the candidate's words; 0 if one isn't."""
-    asked = [runs_collapsed(t) for t in mention.split() if len(t) >= LEAST_CHARS]
-    there = [runs_collapsed(t) for t in candidate.split()]
+    asked = [t for t in mention.split() if len(t) >= LEAST_CHARS]
+    there = candidate.split()
     if not asked or not there:
         return 0.0
-    best = [max(ratio(t, u) for u in there) for t in asked]
+    contained = [max(ratio(runs_collapsed(t), runs_collapsed(u)) for u in there) for t in asked]
     share = len(asked) / len(there)
-    if min(best) >= TOKEN_RATIO:
+    if min(contained) >= TOKEN_RATIO:
         return min(1.0, 0.85 + 0.15 * share)
+    best = [max(token_likeness(t, u) for u in there) for t in asked]
     mean = sum(best) / len(best)
     if len(asked) >= 2 and min(best) >= MODERATE_LEAST and mean >= MODERATE_MEAN:
         return min(1.0, 0.85 + 0.15 * mean * share)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words of company registrations that don't distinguish names.
-NOISE_WORDS = ("pvt", "private", "ltd", "limited", "co", "company", "corp", "corporation", "inc", "llc", "plc")
+NOISE_WORDS = (
+    "pvt", "private", "ltd", "limited", "inc", "incorporated", "llc", "llp", "plc", "co", "company", "corp", "corporation", "and", "the", "m", "s",
+)
 
 # Common English words that carry no topic.
 STOP_WORDS = (
@@ -89,8 +91,8 @@ def line_signature(line: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Lower-case word tokens without stop words (not stemmed)."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\w[\w-]*)"), F.lit(1))
+    """Lower-case word tokens without stop words (not stemmed): letters, digits and _ of any script, with hyphens inside."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_](?:[\p{L}\p{N}_-]*[\p{L}\p{N}_])?)"), F.lit(1))
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
@@ -118,35 +120,54 @@ def page_confidence(is_digital: Column, score: Column) -> Column:
     return F.when(is_digital, 1.0).when(odd, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
+LABEL_CHARS = 80
+_SIGN = r"(?:\s*[-–—:.]\s*.*|\s*)$"
+# The forms of headings in policy wordings, with their depth; group 1 is the number.
+HEADING_FORMS = (
+    ("section", 2, "SECTION", r"(?i)^SECTION\s+([0-9]+|[IVXLC]+)\b" + _SIGN),
+    ("cover", 3, "COVERAGE", r"(?i)^COVERAGE\s+([A-Z]|[0-9]+)\b" + _SIGN),
+    ("cover", 3, "ENDORSEMENT", r"(?i)^ENDORSEMENT\s+([0-9]+|[A-Z])\b" + _SIGN),
+    ("clause", 4, "", r"^([0-9]+(?:\.[0-9]+)+)\.?\s+.+$"),
+)
+
+
+def _form(line: Column, value) -> Column:
+    """``value(kind, depth, clause id)`` of the first form that the line has, or null."""
+    found = F.lit(None)
+    for kind, depth, word, pattern in reversed(HEADING_FORMS):
+        number = F.upper(F.regexp_extract(line, pattern, 1))
+        found = F.when(line.rlike(pattern), value(kind, depth, F.concat(F.lit(f"{word} "), number) if word else number)).otherwise(found)
+    return found
+
+
 def heading(line: Column) -> Column:
     """struct(kind, depth, label, clause_id) of a heading line, or null.
 
-    Markdown marks, SECTION, COVERAGE and ENDORSEMENT titles, decimal clauses and lines in
-    capitals count; dot leaders and labels over 80 characters don't.
+    Markdown marks (whose label may have the id of another form), SECTION, COVERAGE and
+    ENDORSEMENT titles, decimal clauses and lines in capitals count; a list mark before
+    any of them but the first doesn't matter.  Dot leaders don't count; labels end after
+    80 characters.
     """
     bare = F.trim(line)
-    part = lambda pattern, group: F.regexp_extract(bare, pattern, group)
-    markdown, section = r"^(#{1,6})\s+(.+)$", r"(?i)^SECTION\s+([0-9IVXLC]+)\b[\s:.\-]*(.*)$"
-    cover, clause, capitals = r"(?i)^(COVERAGE|ENDORSEMENT)\s+([A-Z0-9]+)\b[\s:.\-]*(.*)$", r"^([0-9]+(?:\.[0-9]+)+)\.?\s+(.+)$", r"^[A-Z][A-Z0-9 &/,'()\-]{3,}$"
-    made = lambda kind, depth, label, clause_id: F.struct(F.lit(kind).alias("kind"), depth.cast("int").alias("depth"), label.alias("label"), clause_id.cast("string").alias("clause_id"))
-    none = F.lit(None)
+    item = F.trim(F.regexp_replace(bare, r"^[-*o•]\s+", ""))
+    markdown, capitals = r"^(#{1,6})\s+(.+)$", r"^[A-Z][A-Z0-9 &/,'()\-]{3,}$"
+    label = F.trim(F.regexp_extract(bare, markdown, 2))
+    made = lambda kind, depth, name, clause_id: F.struct(F.lit(kind).alias("kind"), depth.cast("int").alias("depth"), F.substring(name, 1, LABEL_CHARS).alias("label"), clause_id.cast("string").alias("clause_id"))
     return (
-        F.when(bare.rlike(r"\.{3,}") | (F.length(bare) > 80), none)
-        .when(bare.rlike(markdown), made("markdown", F.length(part(markdown, 1)), part(markdown, 2), none))
-        .when(bare.rlike(section), made("section", F.lit(2), bare, F.concat(F.lit("SECTION "), F.upper(part(section, 1)))))
-        .when(bare.rlike(cover), made("cover", F.lit(3), bare, F.concat_ws(" ", F.upper(part(cover, 1)), F.upper(part(cover, 2)))))
-        .when(bare.rlike(clause), made("clause", F.lit(4), bare, part(clause, 1)))
-        .when(bare.rlike(capitals) & bare.rlike("[A-Z]{2,}"), made("capitals", F.lit(3), bare, none))
+        F.when(F.contains(bare, F.lit("....")), F.lit(None))
+        .when(bare.rlike(markdown), made("markdown", F.length(F.regexp_extract(bare, markdown, 1)), label, _form(label, lambda kind, depth, number: number)))
+        .when(_form(item, lambda kind, depth, number: F.lit(True)), _form(item, lambda kind, depth, number: made(kind, F.lit(depth), item, number)))
+        .when(item.rlike(capitals) & item.rlike("[A-Z]{2,}") & (F.length(item) <= LABEL_CHARS), made("capitals", F.lit(3), item, F.lit(None)))
     )
 
 
 def normalise_page(text: str | None) -> str | None:
-    """Compatibility form without soft hyphens, single spaces, at most one empty line in a row."""
+    """Compatibility form without soft hyphens, single spaces, none before a line end (indentation stays), at most one empty line in a row."""
     if text is None:
         return None
     plain = unicodedata.normalize("NFKC", text).replace("\u00ad", "")
     plain = re.sub(r"[ \t]+", " ", plain)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", plain)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" +\n", "\n", plain)).strip()
 
 
 @F.pandas_udf(T.StringType())

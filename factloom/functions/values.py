@@ -24,7 +24,7 @@ def decimal(raw: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.trim(raw), marks, ""), r"[,\s]", "")
     negative = bare.rlike(r"^\(.*\)$")
     digits = F.regexp_replace(bare, r"^\((.*)\)$", "$1")
-    number = F.when(digits.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), digits).try_cast("decimal(38,10)")
+    number = F.when(digits.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), digits).try_cast("decimal(38,10)")
     return F.when(~is_blank(raw), F.when(negative, -number).otherwise(number))
 
 

@@ -41,12 +41,21 @@ def ranked(df: DataFrame, score: str, key: str, limit: int) -> DataFrame:
 
 
 def rrf(lists: Sequence[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of lists (key, rank): key, rrf_score.  ``k`` must be positive."""
+    """Reciprocal rank fusion of lists (key, rank): key, rrf_score.
+
+    ``k`` must be positive, and a key may be in a list once: one that repeats is an
+    error when the rows are computed.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    joined = lists[0].select(key, F.col("rank").alias("rank_0"))
+
+    def once(ranked: DataFrame, name: str) -> DataFrame:
+        repeated = F.raise_error(F.concat(F.lit("a list of ranks repeats "), F.col(key).cast("string"))).cast("long")
+        return ranked.groupBy(key).agg(F.min("rank").alias(name), F.count("*").alias("_n")).select(key, F.when(F.col("_n") > 1, repeated).otherwise(F.col(name)).alias(name))
+
+    joined = once(lists[0], "rank_0")
     for i, other in enumerate(lists[1:], 1):
-        joined = joined.join(other.select(key, F.col("rank").alias(f"rank_{i}")), key, "full_outer")
+        joined = joined.join(once(other, f"rank_{i}"), key, "full_outer")
     terms = [F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(f"rank_{i}")), F.lit(0.0)) for i in range(len(lists))]
     total = terms[0]
     for t in terms[1:]:

@@ -15,7 +15,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 QUESTION = "the tion of ther inthe, and anon"
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_TERMS = f"list_filter(regexp_extract_all(lower(coalesce({{}}, '')), '([0-9A-Za-z_][0-9A-Za-z_-]*)', 1), lambda t: t not in ({_STOPS}))"
+_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_-]*[\p{L}\p{N}_])?"
+
+
+def _terms(value: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({value}, '')), '({_WORD})', 1), lambda t: t not in ({_STOPS}))"
+
 
 
 def query(sql: str | None = None):
@@ -28,9 +33,9 @@ def query(sql: str | None = None):
     return add
 
 
-_BM25 = f"""toks as (select doc_id, lang, {_TERMS.format("text")} as ts from documents), sizes as (select count(*) as n_docs, avg(len(ts)) as avgdl from toks),
+_BM25 = f"""toks as (select doc_id, lang, {_terms("text")} as ts from documents), sizes as (select count(*) as n_docs, avg(len(ts)) as avgdl from toks),
     posts as (select doc_id, lang, dl, term, count(*) as tf from (select doc_id, lang, len(ts) as dl, unnest(ts) as term from toks) group by all),
-    q as (select unnest({_TERMS.format(f"'{QUESTION}'")}) as term), dfs as (select term, count(*) as df from posts where term in (select term from q) group by 1),
+    q as (select unnest({_terms(f"'{QUESTION}'")}) as term), dfs as (select term, count(*) as df from posts where term in (select term from q) group by 1),
     scored as (select p.doc_id, any_value(p.lang) as lang, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) as score
         from q join posts p on p.term = q.term join dfs on dfs.term = q.term cross join sizes group by 1)"""
 
@@ -127,12 +132,6 @@ def citations_malformed(spark: SparkSession, d: str) -> DataFrame:
     return evidence.malformed_report(marked(spark, d)).groupBy("conv_id", "marker").agg(F.count("*").alias("n"))
 
 
-_EVIDENCE = """select 'policy' as source_type, source as source_id, lang as locator, substr(coalesce(text, ''), 1, 40) as content, 1.0::double as confidence, doc_id as ord from documents
-    union all select 'sql', 'events', event_type, cast(user_id as varchar), 1.0, event_id from events
-    union all select 'spreadsheet', 'labels', cast(quality as varchar), cast(toxic as varchar), 1.0, doc_id from labels
-    union all select 'scanned', 'pages', url, substr(html, 1, 20), case when page_id % 4 = 0 then 0.4 else 0.9 end, page_id from pages"""
-
-
 def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of four tables with whole texts and whole pages as content."""
     t = lambda n: table(spark, d, n)
@@ -146,67 +145,34 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def previews(rows: DataFrame) -> DataFrame:
-    """Evidence with the beginning of a text or page as content, which is what ``_EVIDENCE`` compares."""
-    kind, content = F.col("source_type"), F.col("content")
-    return rows.withColumn("content", F.when(kind == "policy", F.substring(content, 1, 40)).when(kind == "scanned", F.substring(content, 1, 20)).otherwise(content))
-
-
-_KEY = "sha256(source_type || chr(31) || coalesce(source_id, '') || chr(31) || coalesce(locator, '') || chr(31) || sha256(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))))"
-
-
-@query(f"""with e as ({_EVIDENCE}), k as (select *, {_KEY} as dedup_key from e), f as (select dedup_key, any_value(source_type) as source_type, min(ord) as ord from k group by 1)
-    select dedup_key, source_type, ord from f""")
-def evidence_union(spark: SparkSession, d: str) -> DataFrame:
-    """Previews as content, as its SQL has it: texts that begin alike are one.  ``evidence_union_whole`` compares whole texts."""
-    return evidence.deduplicated(previews(evidence_rows(spark, d))).select("dedup_key", "source_type", "ord")
-
-
-_WHOLE = """select 'policy' as source_type, source as source_id, lang as locator, coalesce(text, '') as content, 1.0::double as confidence, doc_id as ord from documents
+_EVIDENCE = """select 'policy' as source_type, source as source_id, lang as locator, coalesce(text, '') as content, 1.0::double as confidence, doc_id as ord from documents
     union all select 'sql', 'events', event_type, cast(user_id as varchar), 1.0, event_id from events
     union all select 'spreadsheet', 'labels', cast(quality as varchar), cast(toxic as varchar), 1.0, doc_id from labels
     union all select 'scanned', 'pages', url, html, case when page_id % 4 = 0 then 0.4 else 0.9 end, page_id from pages"""
 _SPACE = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
-_WHOLE_KEY = f"sha256(source_type || chr(31) || coalesce(source_id, '') || chr(31) || coalesce(locator, '') || chr(31) || sha256(trim(regexp_replace(coalesce(content, ''), '{_SPACE}', ' ', 'g'))))"
+_KEY = f"sha256(source_type || chr(31) || coalesce(source_id, '') || chr(31) || coalesce(locator, '') || chr(31) || sha256(trim(regexp_replace(coalesce(content, ''), '{_SPACE}', ' ', 'g'))))"
 
 
-@query(f"select {_WHOLE_KEY} as dedup_key, any_value(source_type) as source_type, min(ord) as ord from ({_WHOLE}) group by 1")
-def evidence_union_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(f"select {_KEY} as dedup_key, any_value(source_type) as source_type, min(ord) as ord from ({_EVIDENCE}) group by 1")
+def evidence_union(spark: SparkSession, d: str) -> DataFrame:
     """The union with whole texts and pages as content; only digests travel."""
     rows = evidence_rows(spark, d).select(evidence.dedup_key().alias("dedup_key"), "source_type", "ord")
     return evidence.deduplicated(rows).select("dedup_key", "source_type", "ord")
 
 
-@query(f"""with e as ({_EVIDENCE}), k as (select *, {_KEY} as dedup_key from e where ord < 50), f as (select dedup_key, any_value(source_type) as source_type, min(ord) as ord from k group by 1)
+@query(f"""with f as (select {_KEY} as dedup_key, any_value(source_type) as source_type, min(ord) as ord from ({_EVIDENCE}) group by 1)
     select source_type, ord, 'E' || row_number() over (order by case source_type when 'sql' then 0 when 'policy' then 1 else 2 end, ord, source_type) as evidence_id from f""")
 def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of ids under 50 alone, as its SQL has it.  ``evidence_ids_whole`` numbers all."""
-    return evidence.canonical(previews(evidence_rows(spark, d)).where("ord < 50"), ["sql", "policy"]).select("source_type", "ord", "evidence_id")
-
-
-@query(f"""with f as (select {_WHOLE_KEY} as dedup_key, any_value(source_type) as source_type, min(ord) as ord from ({_WHOLE}) group by 1)
-    select source_type, ord, 'E' || row_number() over (order by case source_type when 'sql' then 0 when 'policy' then 1 else 2 end, ord, source_type) as evidence_id from f""")
-def evidence_ids_whole(spark: SparkSession, d: str) -> DataFrame:
     rows = evidence_rows(spark, d).select(evidence.dedup_key().alias("dedup_key"), "source_type", "ord")
     return evidence.canonical(rows, ["sql", "policy"]).select("source_type", "ord", "evidence_id")
 
 
-@query(f"""with e as ({_EVIDENCE}), k as (select *, {_KEY} as dedup_key from e), f as (select dedup_key, any_value(source_type) as source_type, arg_min(confidence, ord) as confidence from k group by 1),
+@query(f"""with e as ({_EVIDENCE}), f as (select {_KEY} as dedup_key, any_value(source_type) as source_type, arg_min(confidence, ord) as confidence from e group by 1),
     r as (select source_type, count(*) as returned from e group by 1), s as (select source_type, count(*) as kept, count(*) filter (where confidence < 0.6) as low_confidence from f group by 1),
     a as (select unnest(['policy', 'sql', 'spreadsheet', 'scanned', 'archive', 'broken']) as source_type)
     select source_type, coalesce(returned, 0) as returned, coalesce(kept, 0) as kept, coalesce(returned, 0) - coalesce(kept, 0) as duplicates, coalesce(low_confidence, 0) as low_confidence,
         case when source_type = 'broken' then 'failed' when coalesce(kept, 0) = 0 then 'silent' else 'ok' end as status from a left join r using (source_type) left join s using (source_type)""")
 def gap_account(spark: SparkSession, d: str) -> DataFrame:
-    """Previews as content, as its SQL has it: texts that begin alike count as duplicates.  ``gap_account_whole`` compares whole texts."""
-    return evidence.gap_account(previews(evidence_rows(spark, d)), *asked_and_failed(spark))
-
-
-@query(f"""with e as ({_WHOLE}), f as (select {_WHOLE_KEY} as dedup_key, any_value(source_type) as source_type, arg_min(confidence, ord) as confidence from e group by 1),
-    r as (select source_type, count(*) as returned from e group by 1), s as (select source_type, count(*) as kept, count(*) filter (where confidence < 0.6) as low_confidence from f group by 1),
-    a as (select unnest(['policy', 'sql', 'spreadsheet', 'scanned', 'archive', 'broken']) as source_type)
-    select source_type, coalesce(returned, 0) as returned, coalesce(kept, 0) as kept, coalesce(returned, 0) - coalesce(kept, 0) as duplicates, coalesce(low_confidence, 0) as low_confidence,
-        case when source_type = 'broken' then 'failed' when coalesce(kept, 0) = 0 then 'silent' else 'ok' end as status from a left join r using (source_type) left join s using (source_type)""")
-def gap_account_whole(spark: SparkSession, d: str) -> DataFrame:
     return evidence.gap_account(evidence_rows(spark, d), *asked_and_failed(spark))
 
 
@@ -351,18 +317,10 @@ def answer_clusters(spark: SparkSession, d: str) -> DataFrame:
     return usage.answer_clusters(changed, "candidate", "question", ["o_orderpriority", "status"]).select("question", "candidates", "shortest")
 
 
-@query("""with r as (select o_custkey as step, 'book' as w, 'sheet' as s, case when o_custkey % 4 = 0 and o_orderkey % 5 = 0 then null else 'A' || o_orderkey || ':D' || o_orderkey end as a from orders where o_custkey % 3 = 0),
-    z as (select step, count(*) as n, count(a) as placed from r group by 1)
-    select r.step, 'book!sheet!' || a as locator, cast(1 as bigint) as row_count from r join z using (step) where n = placed and n <= 25 union all select step, 'book!sheet', n from z where not (n = placed and n <= 25)""")
-def sheet_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Every third step, as its SQL has it.  ``sheet_evidence_whole`` has all."""
-    return evidence.sheet_evidence(sheet_rows(spark, d).where("step % 3 = 0"))
-
-
 @query("""with r as (select o_custkey as step, case when o_custkey % 4 = 0 and o_orderkey % 5 = 0 then null else 'A' || o_orderkey || ':D' || o_orderkey end as a from orders),
     z as (select step, count(*) as n, count(a) as placed from r group by 1)
     select r.step, 'book!sheet!' || a as locator, cast(1 as bigint) as row_count from r join z using (step) where n = placed and n <= 25 union all select step, 'book!sheet', n from z where not (n = placed and n <= 25)""")
-def sheet_evidence_whole(spark: SparkSession, d: str) -> DataFrame:
+def sheet_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence.sheet_evidence(sheet_rows(spark, d))
 
 

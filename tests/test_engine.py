@@ -282,7 +282,7 @@ def test_spend(spark, tmp_path):
 def test_page_texts(spark):
     from factloom.functions import text
 
-    assert text.normalise_page("ﬁre­  x \n\n\n\n y ") == "fire x\n\ny"
+    assert text.normalise_page("ﬁre­  x \n\n\n\n y ") == "fire x\n\n y"
     table = spark.createDataFrame([([["a", "", "b"], ["", None, ""], ["c", " ", "d"]],), ([["only", "row"]],)], "t array<array<string>>")
     assert [r.x for r in table.select(text.rendered_table(F.col("t")).alias("x")).collect()] == ["a | b\nc | d", ""]
     pages = spark.createDataFrame([("--\n ok \n***",), ("--",), (None,)], "t string")

@@ -108,7 +108,7 @@ def test_observe(guard):
     bare = lambda *c: tuple(("", x) for x in c)
     assert observe(Result(error="x"), "").verdict == "sql_error"
     assert observe(Result(("a",)), "").verdict == "empty_result"
-    assert observe(Result(("a",), ((1,), (2,))), "total amount").verdict == "suspicious_shape"
+    assert observe(Result(("a",), ((1,), (2,))), "sum of amounts").verdict == "suspicious_shape"
     assert observe(Result(("a",), ((None,),), "", (("average", "a"),)), "x").verdict == "suspicious_shape"
     ok = Result(("i", "p", "r"), ((10, 4, 6), (None, 1, 2)), "", bare("incurred", "paid", "reserve"))
     assert observe(ok, "list", sums).verdict == "ok"
@@ -122,8 +122,8 @@ def test_observe(guard):
 
 
 def test_questions():
-    assert expects_scalar("What is the total amount?") and expects_scalar("average of at least 3, no grouping")
-    assert not expects_scalar("total per region") and not expects_scalar("which is the highest total")
+    assert expects_scalar("sum of paid amounts") and expects_scalar("AVG of at least 3, no grouping") and expects_scalar("count, ungrouped")
+    assert not any(map(expects_scalar, ("list the claims", "sum per region", "count, grouped by peril", "distribution of counts", "rank by sum", "the highest sum", "max(paid) of all", "minimum value of paid", "average, ties kept")))
 
 
 def test_choice():

@@ -90,3 +90,54 @@ def test_resolution():
     assert similarity.resolve("zz", stored).status == "not_found" and similarity.resolve("quite different", stored).status == "not_found"
     assert similarity.resolve("smith", ["john smith", "jane smith"]).status == "ambiguous"
     assert similarity.gram_overlap("", "") == 1.0 and similarity.score("water damage", "watter damage") > 0.9
+
+
+def test_terms_of_any_script(spark):
+    got = one(spark, text.terms(F.col("t")), t="Größe über café the foo- a--b x_1 日本語 -y")
+    assert got == ["größe", "über", "café", "foo", "a--b", "x_1", "日本語", "y"]
+
+
+def test_indentation_stays():
+    assert text.normalise_page("a \n  b\t\tc\n\n\n\n d ") == "a\n b c\n\n d"
+
+
+def test_token_likeness():
+    from factloom.functions.similarity import token_likeness
+
+    assert token_likeness("aab", "ab") == 1.0 and token_likeness("abc", "abc") == 1.0 and 0 < token_likeness("night", "nacht") < 1
+
+
+def test_headings_with_marks(spark):
+    h = lambda t: one(spark, text.heading(F.col("t")), t=t)
+    assert tuple(h("## SECTION 4 - WATER DAMAGE")) == ("markdown", 2, "SECTION 4 - WATER DAMAGE", "SECTION 4")
+    assert tuple(h("- 4.2 Sudden escape of water"))[:2] == ("clause", 4) and h("- 4.2 Sudden escape of water").clause_id == "4.2"
+    assert h("## Notes").clause_id is None and h("SECTION 4 covers much") is None and h("4.2 Rent .... 7") is None
+    assert tuple(h("COVERAGE C: RENT")) == ("cover", 3, "COVERAGE C: RENT", "COVERAGE C")
+    assert len(h("4.2 " + "x" * 200).label) == 80
+
+
+def test_unbroken_text_is_cut_at_multiples():
+    from factloom.functions.chunks import cut_places, split_text
+
+    assert cut_places("x" * 10, 4) == [4, 8, 10] and cut_places("ab cd efghijkl", 4) == [3, 6, 10, 14]
+    words = "one two. three\n\nfour " + "y" * 50 + " five"
+    parts = split_text(words, 5, 1)
+    assert all(len(p) <= 20 for p in parts) and parts[0][-1] in " \n"
+    joined = parts[0] + "".join(p[4:] for p in parts[1:])
+    assert joined == words and split_text(" \n ", 5, 1) == []
+
+
+def test_numbers_with_exponents(spark):
+    from factloom.functions import values
+
+    assert one(spark, values.decimal(F.col("t")).cast("double"), t="1e3") == 1000.0 and one(spark, values.decimal(F.col("t")), t="e3") is None
+
+
+def test_repeated_rank_is_refused(spark):
+    import pytest
+
+    from factloom.operators import ranking
+
+    twice = spark.createDataFrame([("a", 1), ("a", 2)], "id string, rank int")
+    with pytest.raises(Exception, match="repeats a"):
+        ranking.rrf([twice, twice], "id").collect()
