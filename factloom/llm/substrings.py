@@ -30,10 +30,13 @@ from factloom.llm.common import beside, doc_key, doc_out, id_and_text, partition
 from factloom.llm.textvec import Words, buffers, mix, slices
 
 GRAM = 8
-#: Rows of the sketch and its cells in each; the broadcast has DEPTH * 2**CELL_BITS bits whatever the input.
+#: Rows of the sketch.  Each has a cell for every CELL_BYTES bytes of text (some four for each minimiser), rounded up to a
+#: power of two, but at most 2**MOST_CELL_BITS: the broadcast has DEPTH bits for each cell, so 128 MB at most.
 DEPTH = 2
-CELL_BITS = 26
+CELL_BYTES, LEAST_CELL_BITS, MOST_CELL_BITS = 10, 20, 29
 BLOCK_BITS = 16
+#: Bytes of text whose windows go to one bucket, of which a task holds one at a time, and to one task.
+BUCKET_BYTES, TASK_BYTES = 1 << 22, 1 << 24
 #: Values or windows that a task gathers before it hands them on.
 GATHERED = 1_000_000
 _ROW_SALT = (0x0, 0x5851F42D4C957F2D)
@@ -63,15 +66,20 @@ def minimisers(words: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndar
     return ok, least, chosen
 
 
-def cells(values: np.ndarray, row: int) -> np.ndarray:
-    return (mix(values ^ np.uint64(_ROW_SALT[row])) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def cell_bits_for(n_bytes: int) -> int:
+    """Bits of a cell's number for a corpus of ``n_bytes`` of text."""
+    return min(max((n_bytes // CELL_BYTES).bit_length(), LEAST_CELL_BITS), MOST_CELL_BITS)
 
 
-def _sketch_rows(values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+def cells(values: np.ndarray, row: int, cell_bits: int) -> np.ndarray:
+    return (mix(values ^ np.uint64(_ROW_SALT[row])) >> np.uint64(64 - cell_bits)).astype(np.int64)
+
+
+def _sketch_rows(values: np.ndarray, cell_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(block, cells counted once, cells counted more often) of one part of the input."""
     for row in range(DEPTH):
-        cell, n = np.unique(cells(values, row), return_counts=True)
-        block = (cell >> BLOCK_BITS) + (row << (CELL_BITS - BLOCK_BITS))
+        cell, n = np.unique(cells(values, row, cell_bits), return_counts=True)
+        block = (cell >> BLOCK_BITS) + (row << (cell_bits - BLOCK_BITS))
         place = (cell & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -79,7 +87,7 @@ def _sketch_rows(values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
             yield int(block[a]), place[a:b][once].tobytes(), place[a:b][~once].tobytes()
 
 
-def repeated_cells(texts: DataFrame, width: int, gram: int) -> np.ndarray:
+def repeated_cells(texts: DataFrame, width: int, gram: int, cell_bits: int = LEAST_CELL_BITS) -> np.ndarray:
     """Bits of the merged sketch: cells that count two or more."""
     spark = texts.sparkSession
 
@@ -87,7 +95,7 @@ def repeated_cells(texts: DataFrame, width: int, gram: int) -> np.ndarray:
         from factloom.llm import substrings as s
 
         def rows(parts):
-            out = list(zip(*s._sketch_rows(np.concatenate(parts)), strict=True)) or [()] * 3
+            out = list(zip(*s._sketch_rows(np.concatenate(parts), cell_bits), strict=True)) or [()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "once", "more"])
 
         parts, n = [], 0
@@ -125,9 +133,9 @@ def repeated_cells(texts: DataFrame, width: int, gram: int) -> np.ndarray:
 
     parts = texts.select("text").mapInArrow(sketch, "block int, once binary, more binary")
     merged = parts.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    bits = np.zeros(DEPTH << (CELL_BITS - 3), dtype=np.uint8)
+    bits = np.zeros(DEPTH << (cell_bits - 3), dtype=np.uint8)
     size = 1 << (BLOCK_BITS - 3)
-    for r in merged.collect():  # at most DEPTH * 2**(CELL_BITS - BLOCK_BITS) rows of 8 KB
+    for r in merged.collect():  # at most DEPTH * 2**(MOST_CELL_BITS - BLOCK_BITS) rows of 8 KB
         bits[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, dtype=np.uint8)
     return bits
 
@@ -135,8 +143,9 @@ def repeated_cells(texts: DataFrame, width: int, gram: int) -> np.ndarray:
 def estimated_repeated(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether the count-min estimate (the least over the sketch's rows) of each value is two or more."""
     out = np.ones(len(values), dtype=bool)
+    cell_bits = (8 * len(bits) // DEPTH).bit_length() - 1
     for row in range(DEPTH):
-        cell = cells(values, row) + (row << CELL_BITS)
+        cell = cells(values, row, cell_bits) + (row << cell_bits)
         out &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
     return out
 
@@ -220,10 +229,17 @@ def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def marked_runs(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """Runs of windows that occur earlier: doc_id, text_hash, runs (packed [start, length])."""
+    """Runs of windows that occur earlier: doc_id, text_hash, runs (packed [start, length]).
+
+    The sketch, the buckets of windows and the tasks that settle them are sized from the
+    bytes of the texts, so a task holds the windows of some BUCKET_BYTES at a time and
+    reads those of some TASK_BYTES, however large the corpus is.
+    """
     spark = texts.sparkSession
-    n = partitions(spark)
-    bits = spark.sparkContext.broadcast(repeated_cells(texts, width, gram))
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(partitions(spark), -(-n_bytes // TASK_BYTES))
+    n = max(tasks, -(-n_bytes // BUCKET_BYTES))
+    bits = spark.sparkContext.broadcast(repeated_cells(texts, width, gram, cell_bits_for(n_bytes)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from factloom.llm import substrings as s
@@ -303,8 +319,8 @@ def marked_runs(texts: DataFrame, width: int, gram: int) -> DataFrame:
         if parts:
             yield texts_of(parts)
 
-    found = texts.mapInArrow(find, _FOUND).repartition(n, "bucket").sortWithinPartitions("bucket")
-    marks = found.mapInArrow(settle, "target int, marks binary").repartition(n, "target").sortWithinPartitions("target")
+    found = texts.mapInArrow(find, _FOUND).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    marks = found.mapInArrow(settle, "target int, marks binary").repartition(tasks, "target").sortWithinPartitions("target")
     return marks.mapInArrow(gather, "doc_id long, text_hash long, runs binary")
 
 
@@ -344,8 +360,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, gram: int = GRAM, keep: tup
     unchanged text if nothing is removed) and the columns ``keep``.
 
     A window that occurs anywhere else is never missed: the sketch only overestimates.
-    Its size is fixed; on a corpus that fills it, more windows reach the exact pass,
-    which is bounded by the shuffle, not by memory.  A task hands on one occurrence of
+    It grows with the corpus up to 128 MB; beyond, more windows reach the exact pass,
+    which is bounded by the shuffle, not by memory.  Windows are equal there if 96 bits
+    of two hashes of their words are.  A task hands on one occurrence of
     a window for each million candidates, so a passage that fills a third of the corpus
     doesn't gather in one place.
 
