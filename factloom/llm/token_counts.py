@@ -34,7 +34,7 @@ def piece_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
         from factloom.llm.token_counts import GATHERED, LONGEST, key_of
         from factloom.llm.tokens import encoder
 
-        frequencies = encoder(tokenizer).frequencies
+        split = encoder(tokenizer).split
 
         def rows(found):
             return pa.RecordBatch.from_arrays([pa.array(map(key_of, found), pa.string()), pa.array([p if len(p) > LONGEST else None for p in found], pa.string()), pa.array(found.values(), pa.int64())], ["key", "long_piece", "n"])
@@ -42,7 +42,7 @@ def piece_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                found.update(frequencies(text)[0])
+                found.update(split(text)[0])
                 if len(found) >= GATHERED:
                     yield rows(found)
                     found = Counter()
@@ -56,7 +56,7 @@ def piece_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
             n = [len(pieces(whole if whole is not None else key)) for key, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["key", "n", "n_tokens"])
 
-    distinct = texts.mapInArrow(gather, "key string, long_piece string, n long").groupBy("key").agg(F.max("long_piece").alias("long_piece"), F.sum("n").alias("n"))
+    distinct = texts.mapInArrow(gather, "key string, long_piece string, n long").groupBy("key", "long_piece").agg(F.sum("n").alias("n"))
     return distinct.mapInArrow(count, "key string, n long, n_tokens long")
 
 
@@ -89,13 +89,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: in
         from factloom.llm.token_counts import LONGEST, key_of
         from factloom.llm.tokens import encoder
 
-        frequencies, task, row = encoder(tokenizer).frequencies, TaskContext.get().partitionId(), 0
+        split, task, row = encoder(tokenizer).split, TaskContext.get().partitionId(), 0
         tokens_of = dict(zip(*known.value, strict=True)).get
         for batch in batches:
             totals, keys, amounts, edges = [], [], [], [0]
             for text in batch.column(1).to_pylist():
-                found, total = frequencies(text)
-                for piece, n in found.items():
+                found, total = split(text)
+                for piece, n in Counter(found).items():
                     key = piece if len(piece) <= LONGEST else key_of(piece)
                     each = tokens_of(key)
                     if each is None:

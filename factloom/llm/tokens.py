@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
-from collections import Counter
 
 import public_tokenizers
 import regex
@@ -63,15 +62,12 @@ class PreTokenEncoder:
                 parts += map(self.ids_of.__getitem__, self.find(segment))
         return b"".join(parts)
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """How often each pre-token occurs in the text, and the number of its special strings."""
+    def split(self, text: str) -> tuple[list[str], int]:
+        """The pre-tokens of the text, and the number of its special strings."""
         segments = self._segments(text)
         if len(segments) == 1:
-            return Counter(self.find(text)), 0
-        found: Counter = Counter()
-        for segment in segments[::2]:
-            found.update(self.find(segment))
-        return found, len(segments) // 2
+            return self.find(text), 0
+        return [piece for segment in segments[::2] for piece in self.find(segment)], len(segments) // 2
 
 
 @lru_cache(maxsize=4)
