@@ -50,9 +50,18 @@ class Splitter:
         stand_in = {int(k): chr(int(np.flatnonzero(usable & (here == k))[0])) for k in np.unique(there[odd])}
         self.table = {int(c): stand_in[int(there[c])] for c in odd}
         self.odd = frozenset(map(chr, odd.tolist()))
+        self.beyond_latin = not len(odd) or int(odd[0]) > 0xFF
+
+    def _plain(self, text: str) -> bool:
+        """Whether the text has none of the odd code points, all of which are beyond Latin-1."""
+        try:
+            text.encode("latin-1")  # far cheaper than a look at every character
+        except UnicodeEncodeError:
+            return self.odd.isdisjoint(text)
+        return self.beyond_latin or self.odd.isdisjoint(text)
 
     def find(self, text: str) -> list[str]:
-        if text.isascii() or self.odd.isdisjoint(text):
+        if self._plain(text):
             return self.compiled.findall(text)
         return [text[m.start() : m.end()] for m in self.compiled.finditer(text.translate(self.table))]
 
