@@ -112,6 +112,20 @@ def test_library_agreement():
         assert bpe.codec(RANKS).decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"])
+def test_latin_splitting(pattern):
+    """Latin-1 texts, which ``re`` cuts, are cut as by the pattern itself; what ``re`` can't say goes the other way."""
+    own = splitting.Splitter(pattern)
+    assert own.latin is not None
+    r = random.Random(6)
+    for k in range(4000):
+        text = "".join(r.choices("aSs' 1\t\r\n\x1c\x1f\x85\xa0\xb2\xbd\xaa\xd7" if k % 2 else [chr(c) for c in range(256)], k=r.randrange(30)))
+        assert own.find(text) == own.compiled.findall(text)
+        assert "".join(own.find(text)) == text
+    for odd in (r"[[a]\p{L}]", r"\p{Han}|\p{L}+", r"\bfoo|\s"):
+        assert splitting.Splitter(odd).latin is None
+
+
 def test_own_codec_for_every_text(monkeypatch):
     """No text is handed to a library whole."""
     texts = ["emoji \U0001f389\U0001f468\u200d\U0001f469", "\u4f60\u597d\u3002\uff0c\u4e16\u754c", "\u0939\u093f\u0928\u094d\u0926\u0940 \u0645\u0631\u062d\u0628\u0627", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35", "".join(sorted(splitting.splitter(public_tokenizers.PATTERN).odd)[:300])]
