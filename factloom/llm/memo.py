@@ -9,9 +9,10 @@ SEEN_BITS = 24
 
 
 class Memo(dict):
-    """``memo[key]`` computes a missing value with ``make`` and remembers it when it is asked for again.
+    """``memo[key]`` computes a missing value with ``make`` and remembers it.
 
-    A first request only leaves a mark in a fixed bit field, so that the many keys
+    While the first generation is at most half full every value is remembered.  From
+    then on a first request only leaves a mark in a fixed bit field, so that the many keys
     that occur once take no room.  Two generations hold at most ``entries`` keys each:
     when the young one is full it becomes the old one (and the marks are cleared), and
     keys that are used again come back from there.  Keys longer than ``longest`` are
@@ -30,6 +31,9 @@ class Memo(dict):
             value = self.make(key)
             if len(key) > self.longest:
                 return value
+            if not self.old and 2 * len(self) < self.entries:
+                self[key] = value
+                return value
             mark = hash(key) & ((1 << SEEN_BITS) - 1)
             at, bit = mark >> 3, 1 << (mark & 7)
             if not self.seen[at] & bit:
