@@ -60,13 +60,29 @@ def piece_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
     return distinct.mapInArrow(count, "key string, n long, n_tokens long")
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The pre-tokens above a frequency, the lowest one (in steps of an eighth of an octave) that at most ``most`` exceed.
+
+    A histogram of that many steps finds it, so that no task sorts the keys of all others.
+    """
+    step = F.floor(F.log2("n") * 8)
+    sizes = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("distinct")).collect(), reverse=True)
+    least, taken = None, 0
+    for row in sizes:  # fewer than 512, as n is a long
+        taken += row.distinct
+        if taken > most:
+            break
+        least = row.step
+    return counts.where(step >= least) if least is not None else counts.where(F.lit(False))
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: int = FREQUENT) -> DataFrame:
     """Tokens of each document: doc_id, n_bytes, n_tokens, over_limit.
 
     Two passes over the texts.  The first gathers the distinct pre-tokens of the corpus,
     of which every one is tokenised once.  The second takes the pre-token frequencies of
-    each document, multiplies those of the ``frequent`` most frequent pre-tokens with
-    their counts (a broadcast of that many keys of at most 96 characters), and hands on
+    each document, multiplies those of the most frequent pre-tokens with
+    their counts (a broadcast of at most ``frequent`` keys of at most 96 characters), and hands on
     the others, which are joined to their counts and summed by row.  Ids are never made.
     A pre-token outside the broadcast is rarer than all inside it, so no key of the join
     is hot; the documents' rows are written to the shared folder, and know themselves by
@@ -80,7 +96,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, frequent: in
     ship(spark)
     texts = id_and_text(docs)
     counts = written(spark, piece_counts(texts, tokenizer), "pre-tokens")
-    top = counts.orderBy(F.desc("n"), "key").limit(frequent).select("key", "n_tokens").toArrow()
+    top = most_frequent(counts, frequent).select("key", "n_tokens").toArrow()
     known = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
