@@ -148,6 +148,10 @@ def heading(line: Column) -> Column:
     any of them but the first doesn't matter.  Dot leaders don't count; labels end after
     80 characters.
     """
+    return F.get(F.transform(F.array(line), _heading), F.lit(0))  # the line is worked out once
+
+
+def _heading(line: Column) -> Column:
     bare = F.trim(line)
     item = F.trim(F.regexp_replace(bare, r"^[-*o•]\s+", ""))
     markdown, capitals = r"^(#{1,6})\s+(.+)$", r"^[A-Z][A-Z0-9 &/,'()\-]{3,}$"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import checks, profile, ranking, reports, usage
 from factloom.plans.guard import Guard
 from factloom.session import table
+from factloom.sources import sheets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,7 +56,7 @@ guarded("""SELECT n_name, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DE
 guarded("""SELECT c_mktsegment, count(*) AS n FROM customer c
     WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000) GROUP BY c_mktsegment""")("semi_join_exists")
 guarded("""SELECT c_mktsegment, count(*) AS n FROM customer c
-    WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey) GROUP BY c_mktsegment""")("anti_join_not_exists")
+    WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' AND o.o_totalprice > 200000) GROUP BY c_mktsegment""")("anti_join_not_exists")
 guarded("""SELECT s_nationkey, count(*) AS n FROM supplier
     WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY s_nationkey""")("in_subquery")
 guarded("""SELECT v.label, count(*) AS n, CAST(sum(CASE WHEN n_regionkey <= v.bound THEN 1 ELSE 0 END) AS BIGINT) AS within
@@ -69,7 +70,7 @@ guarded("""SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, min(o
 guarded("""SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT s_nationkey AS k FROM supplier""")("set_union")
 guarded("""SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 9000""")("set_union_all")
 guarded("""SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier""")("set_intersect")
-guarded("""SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0""")("set_except")
+guarded("""SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 9900""")("set_except")
 guarded("""SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty,
     CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue FROM lineitem
     WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""")("pricing_summary")
@@ -154,8 +155,7 @@ def invariant_violations(spark: SparkSession, d: str) -> DataFrame:
 def fanout_detect(spark: SparkSession, d: str) -> DataFrame:
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     once = orders.groupBy("o_custkey").agg(F.sum(reports.money("o_totalprice")).alias("stored_total"))
-    copies = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("copies"))
-    joined = orders.join(copies, "o_orderkey").groupBy("o_custkey").agg(F.sum(reports.money("o_totalprice") * F.col("copies")).alias("joined_total"))
+    joined = orders.join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey").groupBy("o_custkey").agg(F.sum(reports.money("o_totalprice")).alias("joined_total"))
     both = once.join(joined, "o_custkey").withColumn("zero", F.lit(0))
     return checks.SumOf("fanout", ("stored_total", "joined_total", "zero")).violations(both).drop("zero")
 
@@ -280,9 +280,10 @@ def offset_page(spark: SparkSession, d: str) -> DataFrame:
     return ranking.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], 40, 20)
 
 
-@query("""with n as (select c_nationkey, count(*) as n from customer group by 1), island as (select c_nationkey, c_nationkey - row_number() over (order by c_nationkey) as g from n where n > 2)
-    select min(c_nationkey) as first_key, max(c_nationkey) as last_key, count(*) as size from island group by g""")
+@query("""with n as (select distinct c_mktsegment as sheet, c_nationkey + 1 as k from customer where c_acctbal > 9900), g as (select sheet, k, k - row_number() over (partition by sheet order by k) as g from n),
+    i as (select sheet, min(k) as first_key, max(k) as last_key, count(*) as size from g group by sheet, g.g) select sheet, row_number() over (partition by sheet order by first_key) as island, first_key, last_key, size from i""")
 def islands(spark: SparkSession, d: str) -> DataFrame:
-    occupied = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).where("n > 2")  # one row per nation
-    numbered = occupied.withColumn("g", F.col("c_nationkey") - F.row_number().over(Window.orderBy("c_nationkey")))
-    return numbered.groupBy("g").agg(F.min("c_nationkey").alias("first_key"), F.max("c_nationkey").alias("last_key"), F.count("*").alias("size")).drop("g")
+    """Nations of a segment's richest customers as the occupied rows of one sheet."""
+    cells = table(spark, d, "customer").where("c_acctbal > 9900").select(F.lit("book").alias("workbook"), F.col("c_mktsegment").alias("sheet"), (F.col("c_nationkey") + 1).cast("long").alias("row")).distinct()
+    found = sheets.islands(cells).groupBy("sheet", F.col("island").cast("long").alias("island"))
+    return found.agg(F.min("row").alias("first_key"), F.max("row").alias("last_key"), F.count("*").alias("size"))

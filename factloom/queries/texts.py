@@ -213,11 +213,16 @@ def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
     return manifest.furniture(document_lines(spark, d), 2)
 
 
-@query(f"""select doc_id, line_no, case when regexp_matches(b, '\\.{{3,}}') or length(b) > 80 then null when regexp_matches(b, '^#{{1,6}}\\s+.+$') then 'markdown' when regexp_matches(b, '(?i)^SECTION\\s+[0-9IVXLC]+\\b') then 'section'
-        when regexp_matches(b, '(?i)^(COVERAGE|ENDORSEMENT)\\s+[A-Z0-9]+\\b') then 'cover' when regexp_matches(b, '^[0-9]+(\\.[0-9]+)+\\.?\\s+.+$') then 'clause'
-        when regexp_matches(b, '^[A-Z][A-Z0-9 &/,''()\\-]{{3,}}$') and regexp_matches(b, '[A-Z]{{2,}}') then 'capitals' end as kind from (select doc_id, line_no, trim(line) as b from ({_LINES})) where kind is not null""")
+@query(f"""select doc_id, line_no, case (doc_id + line_no) % 7 when 0 then 'markdown' when 1 then 'section' when 2 then 'cover' when 3 then 'clause' else 'capitals' end as kind from ({_LINES})
+    where (doc_id + line_no) % 7 < 5 and not ((doc_id + line_no) % 7 = 0 and contains(line, '....'))""")
 def heading_scan(spark: SparkSession, d: str) -> DataFrame:
-    found = document_lines(spark, d).select("doc_id", "line_no", text.heading(F.col("line")).alias("h"))
+    """Lines of documents with marks, some replaced by headings, entries of a table of contents or plain lines."""
+    k, no = (F.col("doc_id") + F.col("line_no")) % 7, F.col("line_no").cast("string")
+    line = (
+        F.when(k == 0, F.concat(F.lit("## "), "line")).when(k == 1, F.concat(F.lit("Section "), no, F.lit(" - Limits"))).when(k == 2, F.concat(F.lit("- Endorsement "), no))
+        .when(k == 3, F.concat(no, F.lit(".2 Escape of water"))).when(k == 4, "GENERAL CONDITIONS").when(k == 5, F.concat(F.lit("SECTION 1 ........ "), no)).otherwise(F.concat(F.lit("see "), "line"))
+    )
+    found = document_lines(spark, d).select("doc_id", "line_no", text.heading(line).alias("h"))
     return found.where("h is not null").select("doc_id", "line_no", F.col("h.kind").alias("kind"))
 
 
@@ -272,29 +277,38 @@ def coerce_values(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""with l as (select *, (line_no - 1) // 6 as page from ({_LINES})), s as (select *, {_SIGNATURE} as signature, row_number() over (partition by doc_id, page order by line_no) as t, row_number() over (partition by doc_id, page order by line_no desc) as e from l),
+_STAMPED = "case when doc_id % 3 <> 0 and line_no % 6 = 1 then 'Page ' || cast((line_no - 1) // 6 + 1 as bigint) else line end"
+
+
+@query(f"""with l as (select doc_id, line_no, (line_no - 1) // 6 as page, {_STAMPED} as line from ({_LINES})), s as (select *, {_SIGNATURE} as signature, row_number() over (partition by doc_id, page order by line_no) as t, row_number() over (partition by doc_id, page order by line_no desc) as e from l),
     p as (select doc_id, page, signature, line, unnest(list_filter([case when t <= 2 then t - 1 end, case when e <= 2 then -e end], lambda x: x is not null)) as slot from s)
     select doc_id, signature from p group by 1, 2 having count(distinct slot) = 1 and count(distinct page) >= 3 and count(distinct line) = count(distinct page)""")
 def page_stamps(spark: SparkSession, d: str) -> DataFrame:
-    return manifest.page_stamps(document_lines(spark, d), 2)
+    """Of two documents in three every page begins with its number."""
+    stamp = (F.col("doc_id") % 3 != 0) & (F.col("line_no") % 6 == 1)
+    lines = document_lines(spark, d).withColumn("line", F.when(stamp, F.concat(F.lit("Page "), (F.col("page") + 1).cast("long").cast("string"))).otherwise(F.col("line")))
+    return manifest.page_stamps(lines, 2)
+
+
+_SCORE = "case when page_id % 10 = 0 then 1.0 when page_id % 9 = 0 then 0.0 else page_id % 10 / 10.0::double end"
 
 
-@query("""select page_id, case when page_id % 9 = 0 then 0.0 when page_id % 10 = 0 then 1.0 else page_id % 10 / 10.0::double end as confidence,
-    case when page_id % 7 = 0 then '[page could not be read]' else 'x' end as kind from pages where case when page_id % 9 = 0 then 0.0 when page_id % 10 = 0 then 1.0 else page_id % 10 / 10.0::double end < 0.6""")
+@query(f"""select page_id, {_SCORE} as confidence, case when page_id % 7 = 0 then '[page could not be read]' else 'x' end as kind from pages where {_SCORE} < 0.6""")
 def low_confidence_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a score that is a number, NaN (odd multiples of 9) or null (even ones); every tenth page is digital."""
     k = F.col("page_id")
-    score = F.when(k % 9 == 0, F.lit(float("nan"))).otherwise((k % 10) / 10.0)
+    score = F.when(k % 18 == 0, F.lit(None)).when(k % 9 == 0, F.lit(float("nan"))).otherwise((k % 10) / 10.0)
     text_of, _ = text.scanned_page_text(F.when(k % 7 == 0, " \n-- \n").otherwise("x\n--"), F.lit(1.0))
-    pages = table(spark, d, "pages").select("page_id", text.page_confidence(k % 10 == 0, F.when((k % 10 == 0) & (k % 9 == 0), F.lit(None)).otherwise(score)).alias("c"), text_of.alias("kind"))
-    return pages.select("page_id", F.when(k % 9 == 0, 0.0).otherwise(F.col("c")).alias("confidence"), "kind").where("confidence < 0.6")
+    return table(spark, d, "pages").select("page_id", text.page_confidence(k % 10 == 0, score).alias("confidence"), text_of.alias("kind")).where("confidence < 0.6")
 
 
-@query("""with s as (select user_id, event_id, count(*) over (partition by user_id order by ts, event_id) as total from events) select event_id, total, cast(1 as bigint) as delta from s""")
+@query("""with s as (select user_id, event_id, sum(event_id % 7 + 1) over (partition by user_id order by ts, event_id rows unbounded preceding) as total from events)
+    select event_id, cast(total as bigint) as total, cast(event_id % 7 + 1 as bigint) as delta from s""")
 def state_deltas(spark: SparkSession, d: str) -> DataFrame:
     from factloom.operators import usage
 
-    running = F.count("*").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    states = table(spark, d, "events").select("user_id", "event_id", running.alias("total"))
+    running = F.sum(F.col("event_id") % 7 + 1).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    states = table(spark, d, "events").select("user_id", "event_id", running.cast("long").alias("total"))
     return usage.deltas(states, "user_id", "total", "total").select("event_id", "total", "delta")
 
 
