@@ -23,7 +23,8 @@ from factloom.llm.common import doc_out, id_and_text, partitions, ship, written
 from factloom.llm.textvec import mix
 
 #: Hashed dimensions of a document's vector, dimensions that it is projected to, bits of the grid in each.
-HASHED, DIMENSIONS, BITS = 512, 4, 15
+#: A place has fewer than 53 bits, as Spark's approximate quantiles pass through doubles.
+HASHED, DIMENSIONS, BITS = 512, 4, 13
 #: Tokens of a range, and the most ranges (beyond that they grow).
 RANGE_TOKENS, MOST_RANGES = 1 << 22, 20_000
 
