@@ -124,10 +124,11 @@ ORACLE_SQL: dict[str, str] = {
             select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
                 unnest(range(0, case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from kinds),
         placed as (
-            select *, left(role, 1) as initial, row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth,
+            select *, left(role, 1) as initial, row_number() over w as i,
                 lag(left(role, 1)) over w as before, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
             from damaged window w as (partition by conv_id order by turn nulls first, role, text, copy)),
-        faulty as (select *, body = '' as blank, body <> '' and nth > 1 as duplicate, body <> '' and nth = 1 and right(body, 1) not in ('.', '!', '?') as truncated from placed),
+        counted as (select *, row_number() over (partition by conv_id, role, text order by i) as nth from placed),
+        faulty as (select *, body = '' as blank, body <> '' and nth > 1 as duplicate, body <> '' and nth = 1 and right(body, 1) not in ('.', '!', '?') as truncated from counted),
         coded as (select *, not (blank or duplicate) as stays, case when truncated then 5 else 0 end as more from faulty),
         counts as (
             select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
