@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -22,6 +25,24 @@ def session(app: str = "factloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written to the folder that driver and executors share (``spark.checkpoint.dir``), so that its lineage ends there.
+
+    Where that isn't set and the master is local, a folder is made; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            made = tempfile.TemporaryDirectory(prefix="factloom-", ignore_cleanup_errors=True)
+            atexit.register(made.cleanup)
+            folder = f"file://{made.name}"
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
