@@ -14,6 +14,8 @@ from factloom.operators.ranking import RRF_K, ranked, rrf
 K1 = 1.5
 B = 0.75
 DENSE_K = SPARSE_K = 20
+#: Digits of a score that count: sums in another order differ in the last ones, which mustn't decide a tie.
+SCORE_DIGITS = 9
 RERANK_POOL = 40
 #: Columns that a search may be restricted by.
 FILTERABLE = ("source_type", "doc_id", "claim_id", "lang", "source")
@@ -47,6 +49,8 @@ def bm25(index: DataFrame, sizes: DataFrame, query: Sequence[str], key: str = "d
     pushed to the scan of the postings; their document frequencies come from the same
     few rows; a filter on documents has to come after scoring, or the scores change.
     """
+    if not query:  # a question of stop words alone finds nothing
+        return index.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
     hits = index.where(F.col("term").isin(*query))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -54,7 +58,7 @@ def bm25(index: DataFrame, sizes: DataFrame, query: Sequence[str], key: str = "d
     weights = {t: query.count(t) for t in query}
     times = F.create_map(*[x for t, n in weights.items() for x in (F.lit(t), F.lit(n))])
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(sizes))  # df: one row per query term; sizes: one row
-    return scored.groupBy(key).agg(F.sum(times[F.col("term")] * idf * weight).alias("score"))
+    return scored.groupBy(key).agg(F.round(F.sum(times[F.col("term")] * idf * weight), SCORE_DIGITS).alias("score"))
 
 
 def corpus_sizes(chunks: DataFrame, text: str = "text") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.queries import entities, relational, texts
+from factloom.queries import entities, relational, stores, texts
 
 FLAGSHIP = "guarded_revenue_by_nation"
-_MODULES = (relational, texts, entities)
+_MODULES = (relational, texts, entities, stores)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -33,13 +33,18 @@ def query(sql: str | None = None):
     return add
 
 
-_BM25 = f"""toks as (select doc_id, lang, {_terms("text")} as ts from documents), sizes as (select count(*) as n_docs, avg(len(ts)) as avgdl from toks),
+def bm25_sql(question: str) -> str:
+    """Common table expressions that end with ``scored``: doc_id, lang and score of a question."""
+    return f"""toks as (select doc_id, lang, {_terms("text")} as ts from documents), sizes as (select count(*) as n_docs, avg(len(ts)) as avgdl from toks),
     posts as (select doc_id, lang, dl, term, count(*) as tf from (select doc_id, lang, len(ts) as dl, unnest(ts) as term from toks) group by all),
-    q as (select unnest({_terms(f"'{QUESTION}'")}) as term), dfs as (select term, count(*) as df from posts where term in (select term from q) group by 1),
-    scored as (select p.doc_id, any_value(p.lang) as lang, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) as score
+    q as (select unnest({_terms(f"'{question}'")}) as term), dfs as (select term, count(*) as df from posts where term in (select term from q) group by 1),
+    scored as (select p.doc_id, any_value(p.lang) as lang, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) as score
         from q join posts p on p.term = q.term join dfs on dfs.term = q.term cross join sizes group by 1)"""
 
 
+_BM25 = bm25_sql(QUESTION)
+
+
 @query(f"with {_BM25} select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as rank from scored where score > 0 order by score desc, doc_id limit 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieval.sparse_search(table(spark, d, "documents"), QUESTION, 20)

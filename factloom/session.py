@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_own_folder: list[str] = []
+
 
 def session(app: str = "factloom", **conf: str) -> SparkSession:
     """A session with adaptive execution, ANSI arithmetic, UTC and zone-less timestamps."""
@@ -25,21 +28,39 @@ def session(app: str = "factloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder that driver and executors share (``spark.checkpoint.dir``), so that its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
     Where that isn't set and the master is local, a folder is made; on a cluster that is an error.
     """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own_folder:
+        made = tempfile.TemporaryDirectory(prefix="factloom-", ignore_cleanup_errors=True)
+        atexit.register(made.cleanup)
+        _own_folder.append(f"file://{made.name}")
+    return _own_folder[0]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder, so that its lineage ends there and survives the loss of executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            made = tempfile.TemporaryDirectory(prefix="factloom-", ignore_cleanup_errors=True)
-            atexit.register(made.cleanup)
-            folder = f"file://{made.name}"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -190,23 +191,19 @@ def verbatim(cells: DataFrame, workbook: str, sheet: str, limit: int = ROWS_SHOW
 
 
 def ingest(spark: SparkSession, path: str, target: str) -> dict[str, str]:
-    """Write every table of a workbook under ``target`` in a folder of the workbook's generation: name -> path.
+    """Publish every table of a workbook under ``target``, all of them or none: name -> path.
 
-    The generation is a digest of the file, so a repeated ingest writes the same place; a
-    catalogue is to be switched to it only after all tables are written.
+    The generation is a digest of the file, so a repeated ingest changes nothing.  Readers see the
+    tables of the ingest before until all new ones are written, and then those alone.
     """
-    import hashlib
-    from pathlib import Path
-
+    from factloom.sources.commits import Publication
     from factloom.sources.xlsx import SCHEMA, read_cells
 
     generation = hashlib.sha256(Path(path).read_bytes()).hexdigest()[:12]
     rows = list(read_cells(path))
     cells = spark.createDataFrame(rows, SCHEMA)
     frame = pd.DataFrame(rows, columns=["workbook", "sheet", "sheet_no", "row", "col", "value", "value_kind", "cell_format"])
-    out = {}
-    for t in sheet_tables(frame) if rows else []:
-        place = f"{target}/{table_name(t)}/{generation}"
-        typed_table(spark, cells, t, generation).write.mode("overwrite").parquet(place)
-        out[table_name(t)] = place
-    return out
+    tables = {table_name(t): typed_table(spark, cells, t, generation) for t in (sheet_tables(frame) if rows else [])}
+    held = Publication(spark, target)
+    held.publish(Path(path).name, generation, tables)
+    return {name: f"{target}/{t['path']}" for name, t in held.tables().items() if t["owner"] == Path(path).name}
