@@ -19,11 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import stems
+from factloom.functions.stems import stem
 from factloom.functions.text import terms
 from factloom.operators.ranking import ranked
 from factloom.operators.retrieval import K1, SCORE_DIGITS, B
 
-INDEX_VERSION = 3
+INDEX_VERSION = 4
 #: Documents of a range on average.
 RANGE_DOCS = 64
 
@@ -43,6 +45,11 @@ class SparseIndex:
     avgdl: float
     signature: str
     key: str
+    stemmed: bool
+
+    def terms_of(self, question: str) -> list[str]:
+        """The terms of a question, stemmed if the index is."""
+        return query_terms(self.blocks.sparkSession, question, self.stemmed)
 
     def idf(self, df: Column) -> Column:
         return F.log(1 + (F.lit(self.n_docs) - df + 0.5) / (df + 0.5))
@@ -83,17 +90,19 @@ class SparseIndex:
         return ranked(kept.where("score > 0"), "score", self.key, limit)
 
 
-def query_terms(spark: SparkSession, question: str) -> list[str]:
-    """The terms of a question as the index has them, repeats included."""
-    return spark.range(1).select(terms(F.lit(question)).alias("t")).first().t
+def query_terms(spark: SparkSession, question: str, stemmed: bool = False) -> list[str]:
+    """The terms of a question as an index has them, repeats included."""
+    found = spark.range(1).select(terms(F.lit(question)).alias("t")).first().t
+    return [stem(t) for t in found] if stemmed else found
 
 
-def write_index(chunks: DataFrame, base: str, signature: str, key: str = "doc_id", text: str = "text") -> None:
-    """Write the index of chunks under ``base``: blocks, dictionary and, last, meta.  Texts are cut into terms once."""
+def write_index(chunks: DataFrame, base: str, signature: str, key: str = "doc_id", text: str = "text", stemmed: bool = False) -> None:
+    """Write the index of chunks under ``base``: blocks, dictionary and, last, meta.  Texts are cut into terms once, and terms are stemmed on demand."""
     spark = chunks.sparkSession
     cut = chunks.select(key, F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("t"))
     counted = cut.select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy(key, "dl", "term").agg(F.count("term").cast("int").alias("tf"))
     # one row for each document and term, and one for a document without terms
+    counted = stems.stemmed(counted, key) if stemmed else counted
     counted.write.mode("overwrite").parquet(f"{base}/postings")
     postings = spark.read.schema(counted.schema).parquet(f"{base}/postings")
     sizes = postings.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
@@ -102,7 +111,7 @@ def write_index(chunks: DataFrame, base: str, signature: str, key: str = "doc_id
     blocks = there.groupBy("term", "range").agg(F.max(weight(F.col("tf"), F.col("dl"), F.lit(sizes.avgdl or 0.0))).alias("greatest"), F.array_sort(F.collect_list(F.struct(key, "tf", "dl"))).alias("postings"))
     blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{base}/blocks")
     there.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{base}/dictionary")
-    meta = {"version": INDEX_VERSION, "signature": signature, "n_docs": sizes.n_docs, "avgdl": sizes.avgdl or 0.0, "key": key}
+    meta = {"version": INDEX_VERSION, "signature": signature, "n_docs": sizes.n_docs, "avgdl": sizes.avgdl or 0.0, "key": key, "stemmed": stemmed}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/meta")
 
 
@@ -118,4 +127,4 @@ def read_index(spark: SparkSession, base: str) -> SparseIndex | None:
         return None
     if not isinstance(meta, Mapping) or meta.get("version") != INDEX_VERSION:
         return None
-    return SparseIndex(spark.read.parquet(f"{base}/blocks"), spark.read.parquet(f"{base}/dictionary"), meta["n_docs"], meta["avgdl"], meta["signature"], meta["key"])
+    return SparseIndex(spark.read.parquet(f"{base}/blocks"), spark.read.parquet(f"{base}/dictionary"), meta["n_docs"], meta["avgdl"], meta["signature"], meta["key"], meta["stemmed"])

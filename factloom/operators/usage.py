@@ -10,9 +10,19 @@ from pyspark.sql.types import TimestampType
 
 
 def calls_in_window(calls: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """Adds n_recent: calls of the same key in (ts - seconds, ts], itself and ties included."""
-    frame = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast(TimestampType()))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return calls.withColumn("n_recent", F.count("*").over(frame))
+    """Adds n_recent: calls of the same key in (ts - seconds, ts], itself and ties included.
+
+    Time is cut in slices of ``seconds``.  A window reaches into the slice before at most, so each call is counted in its own slice and,
+    as what came before, in the next one; a key is spread over as many tasks as it has slices, whatever share of the calls it
+    has.  Calls without a time are one slice of a key.
+    """
+    width = seconds * 1_000_000
+    slice_of = F.floor(F.col("_at") / width)
+    both = F.when(F.col("_at").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(slice_of, slice_of + 1))
+    placed = calls.withColumn("_at", F.unix_micros(F.col(ts).cast(TimestampType()))).withColumn("_slice", F.explode(both))
+    frame = Window.partitionBy(key, "_slice").orderBy("_at").rangeBetween(-(width - 1), 0)
+    counted = placed.withColumn("n_recent", F.count("*").over(frame))
+    return counted.where(F.col("_slice").eqNullSafe(slice_of)).drop("_at", "_slice")
 
 
 def limited(calls: DataFrame, key: str, ts: str, per_window: int, seconds: int = 60) -> DataFrame:
@@ -32,11 +42,24 @@ def daily_quota(calls: DataFrame, key: str, ts: str, order: str, quota: int) ->
     return day.withColumn("nth", nth).withColumn("over_quota", F.col("nth") > quota)
 
 
-def running_spend(calls: DataFrame, key: str, ts: str, order: str, cost: str, ceiling: float) -> DataFrame:
-    """Adds spent_before (cost of the key's earlier calls) and blocked (checked before the call; a ceiling of 0 or less is none)."""
-    before = Window.partitionBy(key).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.col(cost).cast("decimal(18,2)")).over(before), F.lit(0).cast("decimal(18,2)"))
-    return calls.withColumn("spent_before", spent).withColumn("blocked", F.lit(ceiling > 0) & (F.col("spent_before") >= F.lit(ceiling)))
+def running_spend(calls: DataFrame, key: str, ts: str, order: str, cost: str, ceiling: float, slice_seconds: int = 86_400) -> DataFrame:
+    """Adds spent_before (cost of the key's earlier calls) and blocked (checked before the call; a ceiling of 0 or less is none).
+
+    In two levels: sums within slices of time of a key, and the sums of all earlier slices carried over, of which there is one row for
+    each slice.  So a key's calls are spread over tasks by time, and no window holds them all.
+    """
+    kind = "decimal(18,2)"
+    paid = F.coalesce(F.col(cost).cast(kind), F.lit(0).cast(kind))
+    slice_of = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast(TimestampType())) / (slice_seconds * 1_000_000)), F.lit(-(1 << 62)))
+    placed = calls.withColumn("_slice", slice_of).withColumn("_paid", paid)
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(key, "_slice").agg(F.sum("_paid").alias("_sum"))
+    carried = totals.select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    within = Window.partitionBy(key, "_slice").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_within", F.coalesce(F.sum("_paid").over(within), F.lit(0)))
+    both = summed.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
+    spent = (F.col("_carried") + F.col("_within")).cast(kind)
+    return both.withColumn("spent_before", spent).withColumn("blocked", F.lit(ceiling > 0) & (F.col("spent_before") >= F.lit(ceiling))).drop("_slice", "_paid", "_within", "_key", "_of", "_carried")
 
 
 def ledger(calls: DataFrame, key: str, ts: str, cost: str) -> DataFrame:

@@ -285,6 +285,13 @@ class Guard:
             df.createOrReplaceTempView(self._view(name))
         return self.spark.sql(bound)
 
+    def frame(self, sql: str) -> DataFrame:
+        """The frame of a statement that binds, without its row limit; nothing runs.  For ``observe.same_statement``."""
+        bound, _, reason = self._bound(sql, parse(self.spark, sql))
+        if reason:
+            raise PermissionError(reason)
+        return self._frame(bound)
+
     def run(self, sql: str) -> DataFrame:
         """The rows of an admitted statement; ``PermissionError`` with the reason otherwise."""
         verdict = self.check(sql)

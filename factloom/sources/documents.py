@@ -76,8 +76,8 @@ class ChunkStore:
     looks again.  A log that can't be read is an error for readers (``Unreadable``); ``reset`` begins anew.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, stemmed: bool = False):
+        self.spark, self.folder, self.stemmed = spark, folder.rstrip("/"), stemmed
         self.log, self._buckets = CommitLog(spark, folder), buckets
 
     def version(self) -> int:
@@ -235,14 +235,14 @@ class ChunkStore:
     def save_index(self) -> None:
         """The sparse index of the chunks, with the signature of the chunks that it was made from."""
         version, _ = self.log.state()
-        write_index(self.chunks(version=version), f"{self.folder}/index", self.signature(), "id")
+        write_index(self.chunks(version=version), f"{self.folder}/index", self.signature(), "id", stemmed=self.stemmed)
 
     def load_index(self):
         """The stored index: FileNotFoundError if there is none, CorruptIndex if it doesn't fit the chunks.  Reads no chunk."""
         found = read_index(self.spark, f"{self.folder}/index")
         if found is None:
             raise FileNotFoundError("no index")
-        if found.signature != self.signature():
+        if found.signature != self.signature() or found.stemmed != self.stemmed:
             raise CorruptIndex("the index belongs to other chunks")
         return found
 
