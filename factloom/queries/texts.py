@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import chunks, text
 from factloom.functions import values as cell_values
-from factloom.operators import evidence, manifest, ranking, retrieval
+from factloom.operators import evidence, manifest, ranking, retrieval, structure
 from factloom.session import table
 
 QUERIES: dict = {}
@@ -361,3 +361,37 @@ def citation_footer(spark: SparkSession, d: str) -> DataFrame:
 def unmerged_clauses(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), F.lit("\\. "), F.concat(F.lit(". 4."), (F.col("doc_id") % 7).cast("string"), F.lit(" A "))).alias("text"))
     return docs.select("doc_id", F.size(F.split(text.unmerged_clauses(F.col("text")), "\n")).cast("long").alias("n_lines"))
+
+
+_PLAIN_LINE = "translate(line, '0123456789', '')"
+_LEVEL = "(doc_id * 7 + line_no * 3) % 23"
+
+
+def _structured_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents without digits in pages of six; of 23 lines five are headings of different depths, the others plain."""
+    k, no = (F.col("doc_id") * 7 + F.col("line_no") * 3) % 23, F.col("line_no").cast("string")
+    line = (
+        F.when(k == 0, "## Cover and limits").when(k == 1, F.concat(F.lit("Section "), no, F.lit(" - Limits"))).when(k == 2, F.concat(F.lit("- Endorsement "), no))
+        .when(k == 3, F.concat(no, F.lit(".2 Escape of water"))).when(k == 4, "GENERAL CONDITIONS").when(k == 5, F.concat(F.lit("SECTION 1 ........ "), no)).otherwise(F.concat(F.lit("see "), F.translate("line", "0123456789", "")))
+    )
+    lines = document_lines(spark, d).select("doc_id", F.col("page").cast("int").alias("page"), "line_no", line.alias("line"))
+    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"""with l as (select doc_id, (line_no - 1) // 6 as page, line_no, {_LEVEL} as k, line from ({_LINES})),
+    h as (select doc_id, page, line_no, k, case k when 0 then 2 when 1 then 2 when 2 then 3 when 3 then 4 when 4 then 3 end as depth,
+            case k when 0 then 'Cover and limits' when 1 then 'Section ' || line_no || ' - Limits' when 2 then 'Endorsement ' || line_no when 3 then line_no || '.2 Escape of water' when 4 then 'GENERAL CONDITIONS' end as label,
+            case k when 1 then 'SECTION ' || line_no when 2 then 'ENDORSEMENT ' || line_no when 3 then line_no || '.2' end as clause,
+            case k when 0 then '## Cover and limits' when 5 then 'SECTION 1 ........ ' || line_no else 'see ' || {_PLAIN_LINE} end as plain from l),
+    s as (select *, max(case when depth = 2 then line_no end) over w as d2, max(case when depth = 3 then line_no end) over w as d3, max(case when depth = 4 then line_no end) over w as d4,
+            max(case when depth is not null or line_no % 6 = 1 then line_no end) over w as block, lead(line_no) over (partition by doc_id, page order by line_no) as next
+        from h window w as (partition by doc_id order by line_no)),
+    b as (select doc_id, page, block, string_agg(case when k in (1, 2, 3, 4) then label else plain end || case when next is not null then chr(10) else '' end, '' order by line_no) as text,
+            min(d2) filter (line_no = block) as d2, min(case when d3 > coalesce(d2, 0) then d3 end) filter (line_no = block) as d3, min(case when d4 > greatest(coalesce(d2, 0), coalesce(d3, 0)) then d4 end) filter (line_no = block) as d4 from s group by 1, 2, 3),
+    r as (select b.doc_id, b.page, b.block, b.text, concat_ws(' > ', x.label, y.label, z.label) as labels, coalesce(z.clause, y.clause, x.clause) as clause
+        from b left join h x on x.doc_id = b.doc_id and x.line_no = b.d2 left join h y on y.doc_id = b.doc_id and y.line_no = b.d3 left join h z on z.doc_id = b.doc_id and z.line_no = b.d4)
+    select doc_id, row_number() over (partition by doc_id order by block) - 1 as chunk_no, cast(page as bigint) as page, case when labels <> '' then 'doc' || doc_id || ' > ' || labels end as section, clause as clause_id, sha256(text) as content_hash from r""")
+def document_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of all documents with their breadcrumbs and clauses; blocks aren't split here."""
+    pages = _structured_pages(spark, d).withColumn("doc_name", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    return structure.policy_chunks(pages, 10**8).select("doc_id", "chunk_no", F.col("page").cast("long").alias("page"), "section", "clause_id", "content_hash")

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import similarity, text, values
-from factloom.functions.chunks import chunk_documents, chunk_pages, match_heading, split_text
+from factloom.functions.chunks import split_text
+from factloom.operators import structure
 
 
 def one(spark, column, **row):
@@ -67,17 +68,78 @@ def test_split_text():
             split_text("a", *bad)
 
 
+def brute_stack(pages):
+    """(page, labels, clause, text) of each block by a stack, line by line; headings are given as (depth, label, clause, line)."""
+    stack, out = [], []
+    for number, lines in enumerate(pages, 1):
+        text, seen = "", list(stack)
+        for i, line in enumerate(lines):
+            end = "\n" if i + 1 < len(lines) else ""
+            if isinstance(line, tuple):
+                if text.strip():
+                    out.append((number, [s[1] for s in seen], next((s[2] for s in reversed(seen) if s[2]), None), text))
+                while stack and stack[-1][0] >= line[0]:
+                    stack.pop()
+                stack.append(line)
+                text, seen = line[3] + end, list(stack)
+            else:
+                text += line + end
+        if text.strip():
+            out.append((number, [s[1] for s in seen], next((s[2] for s in reversed(seen) if s[2]), None), text))
+    return out
+
+
+FORMS = [
+    lambda n: (1, f"Top {n}", None, f"# Top {n}"), lambda n: (2, f"SECTION {n}", f"SECTION {n}", f"SECTION {n}"), lambda n: (3, f"COVERAGE {n} - Rent", f"COVERAGE {n}", f"COVERAGE {n} - Rent"), lambda n: (4, f"{n}.1 Escape", f"{n}.1", f"{n}.1 Escape"),
+    lambda n: (3, "GENERAL CONDITIONS", None, "GENERAL CONDITIONS"), lambda n: (5, f"Deep {n}", None, f"##### Deep {n}"), lambda n: (2, f"SECTION {n}: Limits", f"SECTION {n}", f"## SECTION {n}: Limits"),
+]
+
+
+@pytest.mark.parametrize("segment", [1, 3, 2000])
+def test_nested_headings(spark, segment):
+    """The scan in segments gives the blocks of the stack, whatever the length of a segment."""
+    import random
+
+    r = random.Random(segment)
+    rows, want = [], {}
+    for doc in range(12):
+        pages = [[r.choice(FORMS)(r.randrange(1, 9)) if r.random() < 0.4 else r.choice(["some text", "  indented", "", "Contents ......... 3"]) for _ in range(r.randrange(0, 9))] for _ in range(r.randrange(1, 5))]
+        rows += [(f"d{doc}", n, "\n".join(x[3] if isinstance(x, tuple) else x for x in p) if p else None) for n, p in enumerate(pages, 1)]
+        # a text that ends with an empty line has no such line
+        want[f"d{doc}"] = brute_stack([p if not p or p[-1] != "" else [*p[:-1]] for p in pages])
+    df = spark.createDataFrame(rows, "doc_id string, page int, text string").repartition(4)
+    got = {}
+    for x in structure.policy_blocks(df, segment).orderBy("doc_id", "page", "block").collect():
+        got.setdefault(x.doc_id, []).append((x.page, x.labels, x.clause_id, x.text))
+    for doc, blocks in want.items():
+        plain = [(p, labels, c, t.rstrip("\n")) for p, labels, c, t in got.get(doc, [])]
+        assert plain == [(p, labels, c, t.rstrip("\n")) for p, labels, c, t in blocks], doc
+
+
 def test_headings(spark):
-    assert match_heading("## Cover")[0] == 2 and match_heading("SECTION 3 Limits")[2] == "SECTION 3"
-    assert match_heading("4.2 Sudden escape of water")[2] == "4.2" and match_heading("COVERAGE C Rent")[2] == "COVERAGE C"
-    assert match_heading("GENERAL CONDITIONS")[0] == 3 and match_heading("Contents ......... 3") is None and match_heading("x" * 90) is None
-    assert match_heading("4.2 Water", clauses=False) is None
-    pages = ["SECTION 1 Cover\nintro\n1.1 Water\nwater text", "more water\nSECTION 2 Limits\nlimit text"]
-    got = chunk_pages(pages, "doc")
-    assert [g[2] for g in got] == ["SECTION 1", "1.1", "1.1", "SECTION 2"]
-    assert got[2][0] == 2 and got[1][1] == "doc > SECTION 1 Cover > 1.1 Water"
-    df = spark.createDataFrame([("d", "doc", 2, pages[1]), ("d", "doc", 1, pages[0]), ("e", "e", 1, None)], "doc_id string, doc_name string, page int, text string")
-    assert chunk_documents(df).orderBy("chunk_no").select("clause_id").toPandas().clause_id.tolist() == ["SECTION 1", "1.1", "1.1", "SECTION 2"]
+    pages = ["SECTION 1\nintro\n- 1.1 Water\r\nwater text", "more water. 1.2 Fire is covered\nSECTION 2 - Limits\nlimit text"]
+    df = spark.createDataFrame([("d", "doc", 2, pages[1]), ("d", "doc", 1, pages[0]), ("e", "e", 1, None), ("f", None, 1, "plain")], "doc_id string, doc_name string, page int, text string")
+    got = {x.chunk_no: x for x in structure.policy_chunks(df).where("doc_id = 'd'").collect()}
+    assert [got[i].clause_id for i in range(5)] == ["SECTION 1", "1.1", "1.1", "1.2", "SECTION 2"] and [got[i].page for i in range(5)] == [1, 1, 2, 2, 2]
+    assert got[1].section == "doc > SECTION 1 > 1.1 Water" and got[1].chunk_text == "1.1 Water\r\nwater text" and got[3].chunk_text == "1.2 Fire is covered\n"
+    rest = {x.doc_id: x for x in structure.policy_chunks(df).where("doc_id <> 'd'").collect()}
+    assert set(rest) == {"f"} and rest["f"].section is None and rest["f"].clause_id is None
+    long = spark.createDataFrame([("g", "g", 1, "SECTION 1\n" + "words and more. " * 300), ("g", "g", 2, "next")], "doc_id string, doc_name string, page int, text string")
+    parts = structure.policy_chunks(long, 100, 10).orderBy("chunk_no").collect()
+    assert [p.chunk_no for p in parts] == list(range(len(parts))) and len(parts) > 10 and all(len(p.chunk_text) <= 400 for p in parts) and parts[-1].chunk_text == "next" and parts[-1].section == "g > SECTION 1"
+
+
+def test_scanned_chunks(spark):
+    pages = [("s", "scan.pdf", 1, "# Findings\n- roof open\n<!-- image -->\n\n1.1 Not a clause", 0.8), ("s", "scan.pdf", 2, "<!-- image -->\n  ", 0.9), ("s", "scan.pdf", 3, "before\n## Cost\n100", None), ("t", "t.pdf", 1, None, None)]
+    df = spark.createDataFrame(pages, "doc_id string, doc_name string, page int, text string, confidence double")
+    got = [(x.doc_id, x.chunk_no, x.page, x.section, x.clause_id, x.chunk_text, x.confidence) for x in structure.scanned_chunks(df).orderBy("doc_id", "chunk_no").collect()]
+    assert got == [
+        ("s", 0, 1, "scan.pdf > p.1 > Findings", None, "Findings\nroof open\n1.1 Not a clause", 0.8), ("s", 1, 2, "scan.pdf > p.2", None, text.UNREADABLE, 0.0), ("s", 2, 3, "scan.pdf > p.3", None, "before", None),
+        ("s", 3, 3, "scan.pdf > p.3 > Cost", None, "Cost\n100", None), ("t", 0, 1, "t.pdf > p.1", None, text.UNREADABLE, 0.0),
+    ]
+
+
+def test_kinds_of_headings(spark):
     kinds = spark.createDataFrame([("# A",), ("plain",), ("1.2 Foo",), ("ALL CAPS LINE",)], "l string").select(text.heading(F.col("l"))["kind"].alias("k")).toPandas().k.tolist()
     assert kinds == ["markdown", None, "clause", "capitals"]
 
