@@ -18,20 +18,30 @@ def is_blank(raw: Column) -> Column:
     return raw.isNull() | F.lower(F.trim(raw)).isin(*SENTINELS)
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` worked out once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _number(bare: Column) -> Column:
+    """The value of a text without marks and spaces; in parentheses it is negative."""
+    negative = bare.rlike(r"^\(.*\)$")
+    number = _once(F.regexp_replace(bare, r"^\((.*)\)$", "$1"), lambda digits: F.when(digits.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), digits).try_cast("decimal(38,10)"))
+    return _once(F.struct(number.alias("n"), negative.alias("minus")), lambda x: F.when(x["minus"], -x["n"]).otherwise(x["n"]))
+
+
 def decimal(raw: Column) -> Column:
     """Currency marks, thousands separators and spaces go; parentheses mean a negative number; null if it isn't one."""
     marks = r"(?i)\b(?:pkr|rs|usd|eur|gbp)\b\.?|[$€£]"
     bare = F.regexp_replace(F.regexp_replace(F.trim(raw), marks, ""), r"[,\s]", "")
-    negative = bare.rlike(r"^\(.*\)$")
-    digits = F.regexp_replace(bare, r"^\((.*)\)$", "$1")
-    number = F.when(digits.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), digits).try_cast("decimal(38,10)")
-    return F.when(~is_blank(raw), F.when(negative, -number).otherwise(number))
+    return F.when(~is_blank(raw), _once(bare, _number))
 
 
 def percent(raw: Column) -> Column:
     """A text with a percent sign is divided by a hundred; one without is taken as it is."""
     number = decimal(F.regexp_replace(raw, "%", ""))
-    return F.when(F.contains(raw, F.lit("%")), (number / 100).cast("decimal(38,10)")).otherwise(number)
+    divisor = F.when(F.contains(raw, F.lit("%")), F.lit(100)).otherwise(F.lit(1))
+    return (number / divisor).cast("decimal(38,10)")
 
 
 def date(raw: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import cosine, terms
 from factloom.operators.ranking import RRF_K, ranked, rrf
+from factloom.session import settled
 
 # The usual constants of BM25.
 K1 = 1.5
@@ -67,10 +68,18 @@ def corpus_sizes(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sparse_search(chunks: DataFrame, query: str, limit: int, key: str = "doc_id", text: str = "text", filters: Mapping[str, object] | None = None) -> DataFrame:
-    """The best chunks by BM25 with rank: statistics over all chunks, filter after scoring."""
+    """The best chunks by BM25 with rank: statistics over all chunks, filter after scoring.
+
+    Texts are cut into terms once; what is kept of each is its number of terms and those that are asked for.  A store that is searched often has
+    an index (``operators.sparse``).
+    """
     spark = chunks.sparkSession
     wanted = spark.range(1).select(terms(F.lit(query)).alias("t")).first().t
-    scores = bm25(postings(chunks, key, text), corpus_sizes(chunks, text), wanted, key)
+    cut = chunks.select(key, terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    counted = settled(cut.select(key, F.size("t").alias("dl"), (F.filter("t", lambda t: t.isin(*wanted)) if wanted else F.array().cast("array<string>")).alias("hits")))
+    found = counted.select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    sizes = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    scores = bm25(found, sizes, wanted, key)
     if filters:
         scores = scores.join(chunks.where(where(filters)).select(key), key, "left_semi")
     return ranked(scores.where("score > 0"), "score", key, limit)
