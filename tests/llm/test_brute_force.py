@@ -665,11 +665,27 @@ def test_quality_against_labels(spark):
     good = counts.get((1, True), 0) / (counts.get((1, True), 0) + counts.get((1, False), 0))
     junk = counts.get((0, False), 0) / (counts.get((0, True), 0) + counts.get((0, False), 0))
     assert junk > 0.95 and good > 0.95, counts
-    spared = judged.where(F.least(*NAMES) < 0).where("quality >= 0.5").count()
-    assert spared > 100  # an any-junk-vote filter would reject these
+    spared = judged.where(F.least(*NAMES) < 0).where("kept").count()
+    assert spared > 80  # an any-junk-vote filter would reject these
     judged.unpersist()
 
 
+def test_the_fit_decides(spark, monkeypatch):
+    """A source of tagged texts, real ones with # before every third word, stays because the fit learns that the rule of symbols errs beside that of marks; the prior alone rejects it."""
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    usual = quality.judge(docs).where("kept").select("doc_id").cache()
+    tagged = docs.join(usual, "doc_id").where("doc_id % 4 = 0").select((F.col("doc_id") + 10**6).alias("doc_id"), F.regexp_replace("text", r"(\S+) (\S+) (\S+) ", "$1 $2 #$3 ").alias("text"))
+    both = docs.unionByName(tagged).cache()
+    kept = lambda: {r.doc_id for r in quality.judge(both).where("kept").collect()}
+    wanted, before = {r.doc_id for r in tagged.collect()}, {r.doc_id for r in usual.collect()}
+    fitted = kept()
+    monkeypatch.setattr(quality, "fit", lambda patterns, sizes, **_: quality.prior_model(sizes))
+    unfitted = kept()
+    assert len(wanted) > 150 and len(wanted & fitted) > 0.9 * len(wanted) and len(wanted & unfitted) < 0.1 * len(wanted)
+    assert len(before & fitted) > 0.99 * len(before)
+
+
 def test_kept_columns_with_clashing_names(spark):
     frame = spark.createDataFrame([(1, "a b " * 30, 7, 9), (1, "a b " * 30, 7, 9), (None, None, None, None)], "doc_id long, text string, n_words int, v_ends int")
     got = quality.judge(frame, keep=("n_words", "v_ends", "text"))
