@@ -287,3 +287,40 @@ def islands(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "customer").where("c_acctbal > 9900").select(F.lit("book").alias("workbook"), F.col("c_mktsegment").alias("sheet"), (F.col("c_nationkey") + 1).cast("long").alias("row")).distinct()
     found = sheets.islands(cells).groupBy("sheet", F.col("island").cast("long").alias("island"))
     return found.agg(F.min("row").alias("first_key"), F.max("row").alias("last_key"), F.count("*").alias("size"))
+
+
+_NAMED = "case when doc_id % 17 = 0 then 'scan' || doc_id || '.pdf' else 'CLM-' || (doc_id + 100) || '.pdf' end"
+
+
+@query(f"""with files as (select 'policy' as source, 'doc' || s_suppkey || '.txt' as name from supplier where s_suppkey % 10 <> 3 union all select 'scanned', {_NAMED} from documents
+        union all select 'workbook', 'book' || n_nationkey || '.xlsx' from nation where n_nationkey <> 4 union all select 'workbook', 'extra' || r_regionkey || '.xlsx' from region),
+    expected as (select 'policy' as source, count(*) as expected from supplier union all select 'scanned', count(*) from documents union all select 'workbook', count(*) from nation union all select 'audio', 1),
+    claims as (select 'CLM-' || (o_orderkey + 100) as claim_number from orders where o_orderkey % 13 <> 5),
+    sheet as (select distinct 'book' || c_nationkey || '.xlsx' as workbook, case when c_custkey % 50 = 0 then 'NOWHERE' when c_custkey % 50 = 1 then ' ' else r_name end as region from customer join region on r_regionkey = c_nationkey % 5)
+    select 0 as place, 'source_incomplete' as rule, e.source || ': ' || coalesce(n, 0) || ' of ' || expected || ' files' as detail from expected e left join (select source, count(*) as n from files group by 1) f using (source) where coalesce(n, 0) <> expected
+    union all select 1, 'policy_document_missing', s_name || ': doc' || s_suppkey || '.txt' from supplier where 'doc' || s_suppkey || '.txt' not in (select name from files where source = 'policy')
+    union all select 2, 'scanned_filename_unkeyed', name from files where source = 'scanned' and name not like 'CLM%'
+    union all select 3, 'scanned_claim_unknown', name from files where source = 'scanned' and name like 'CLM%' and replace(name, '.pdf', '') not in (select claim_number from claims)
+    union all select 4, 'workbook_missing', 'book' || n_nationkey || '.xlsx' from nation where 'book' || n_nationkey || '.xlsx' not in (select name from files)
+    union all select 5, 'workbook_undeclared', name from files where source = 'workbook' and name not in (select 'book' || n_nationkey || '.xlsx' from nation)
+    union all select 6, 'workbook_region_unknown', workbook || ': ' || region from sheet where trim(region) <> '' and region not in (select r_name from region)
+    union all select 7, 'ops_invariant_violated', 'ops.customer: balance: ' || c_custkey from customer where c_acctbal < 0
+    union all select 8, 'sheet_invariant_violated', 'sheets.parts: price: ' || p_partkey from part where p_retailprice - p_size > 900""")
+def cross_source_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as products, documents as scans of orders, nations as workbooks: every rule finds something."""
+    t = lambda n: table(spark, d, n)
+    text = lambda c: F.col(c).cast("string")
+    document, book = F.concat(F.lit("doc"), text("s_suppkey"), F.lit(".txt")), lambda c: F.concat(F.lit("book"), text(c), F.lit(".xlsx"))
+    scan = F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("scan"), text("doc_id"), F.lit(".pdf"))).otherwise(F.concat(F.lit("CLM-"), (F.col("doc_id") + 100).cast("string"), F.lit(".pdf")))
+    named = lambda df, kind, name: df.select(F.lit(kind).alias("source"), name.alias("name"))
+    files = named(t("supplier").where("s_suppkey % 10 <> 3"), "policy", document).unionByName(named(t("documents"), "scanned", scan)).unionByName(named(t("nation").where("n_nationkey <> 4"), "workbook", book("n_nationkey"))).unionByName(named(t("region"), "workbook", F.concat(F.lit("extra"), text("r_regionkey"), F.lit(".xlsx"))))
+    size = lambda n, kind: t(n).agg(F.lit(kind).alias("source"), F.count("*").alias("expected"))
+    sources = size("supplier", "policy").unionByName(size("documents", "scanned")).unionByName(size("nation", "workbook")).unionByName(t("region").limit(1).select(F.lit("audio").alias("source"), F.lit(1).cast("long").alias("expected")))
+    customers = t("customer").join(t("region"), F.col("r_regionkey") == F.col("c_nationkey") % 5)
+    region = F.when(F.col("c_custkey") % 50 == 0, "NOWHERE").when(F.col("c_custkey") % 50 == 1, " ").otherwise(F.col("r_name"))
+    return checks.cross_source_findings(
+        sources, files, t("supplier").select(F.col("s_name").alias("product"), document.alias("policy_document")), t("orders").where("o_orderkey % 13 <> 5").select(F.concat(F.lit("CLM-"), (F.col("o_orderkey") + 100).cast("string")).alias("claim_number")),
+        t("nation").select(book("n_nationkey").alias("workbook")), customers.select(book("c_nationkey").alias("workbook"), region.alias("region")), t("region").select(F.col("r_name").alias("region_name")),
+        ops=[("ops.customer", t("customer"), "c_custkey", [checks.NonNegative("balance", ("c_acctbal",))])],
+        sheets=[("sheets.parts", t("part").select("p_partkey", (F.col("p_retailprice") - F.col("p_size")).alias("net"), F.lit(900.0).alias("most")), "p_partkey", [checks.Ordered("price", ("net", "most"))])],
+    )
