@@ -48,8 +48,10 @@ def _predicate(e: Node) -> Predicate | None:
     origin = e.java.origin()
     if not origin.startIndex().isDefined():
         return None
-    place = origin.startIndex().get(), origin.stopIndex().get() + 1
     children = e.children()
+    # the parser places memberships and patterns behind their column
+    begins = [c.java.origin().startIndex().get() for c in children[:1] if c.java.origin().startIndex().isDefined()]
+    place = min([origin.startIndex().get(), *begins]), origin.stopIndex().get() + 1
     if e.kind == "EqualTo":
         for a, b in (children, children[::-1]):
             if (column := _column(a)) and (value := _literal(b)) is not None:

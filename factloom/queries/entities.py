@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import NOISE_WORDS
 from factloom.operators import resolution
+from factloom.plans import observe, rewrite
+from factloom.plans.guard import Guard
 from factloom.session import table
 
 QUERIES: dict = {}
@@ -160,3 +162,50 @@ def clarify_questions(spark: SparkSession, d: str) -> DataFrame:
 def stored_values(spark: SparkSession, d: str) -> DataFrame:
     shown = resolution.stored_values(_resolved(spark, d))
     return shown.select("mention", "table_name", "column_name", F.array_join("values", "|").alias("stored"), "match_kind")
+
+
+def _ground(spark: SparkSession, d: str, sql: str) -> str:
+    """The statement with the spellings that are stored in the columns of its predicates."""
+    literals = spark.createDataFrame([(v,) for p in rewrite.predicates(spark, sql) for v in p.values], "mention string")
+    found = resolution.stored_values(resolution.resolve_mentions(literals, resolution.catalogue_of(_tables(spark, d)), _references(spark, d))).collect()
+    known = {(r.mention, r.column_name): (r.match_kind, r["values"]) for r in found}
+    return rewrite.rewritten(spark, sql, lambda column, literal: known.get((literal, column.split(".")[-1]))) or sql
+
+
+def _guard(spark: SparkSession, d: str) -> Guard:
+    return Guard(spark, {f"ops.{n}": table(spark, d, n) for n in ("region", "nation", "customer", "part", "orders")}, 500)
+
+
+@query("select c_nationkey, count(*) as customers from customer where c_mktsegment in ('BUILDING', 'AUTOMOBILE') group by c_nationkey")
+def grounded_statement(spark: SparkSession, d: str) -> DataFrame:
+    """A statement with misspelt literals, rewritten to stored spellings and admitted again."""
+    return _guard(spark, d).run(_ground(spark, d, "select c.c_nationkey, count(*) as customers from customer c where c.c_mktsegment in ('bilding', 'AUTOMOBIL') group by c.c_nationkey"))
+
+
+@query("select p_partkey, p_name, p_size from part where p_type = 'ECONOMY' and p_size > 45 order by p_size desc, p_partkey limit 40")
+def restored_statement(spark: SparkSession, d: str) -> DataFrame:
+    """The plan asks for name and size, which the statement doesn't project; its literal is misspelt, too."""
+    sql = _ground(spark, d, "select p_partkey from part where p_type = 'econmy' and p_size > 45 order by p_size desc, p_partkey limit 40")
+    return _guard(spark, d).run(rewrite.restored(spark, sql, ["p_name", "p_size"], table(spark, d, "part").columns))
+
+
+_RIGHT = "select n_name, sum(c_acctbal) as balance from customer join nation on c_nationkey = n_nationkey group by n_name order by n_name limit 25"
+
+
+@query(f"select n_name, cast(balance as double) as balance from ({_RIGHT.replace('sum(c_acctbal)', 'sum(cast(c_acctbal as decimal(18,2)))')})")
+def voted_statement(spark: SparkSession, d: str) -> DataFrame:
+    """Of five candidates two agree, one multiplies rows, one has no rows and one doesn't bind; the rows are those of the one that is trusted."""
+    guard, results = _guard(spark, d), []
+    money = "sum(cast(c_acctbal as decimal(18,2)))"
+    for sql in (
+        _RIGHT.replace("sum(c_acctbal)", money),
+        f"select n.n_name, {money} as balance from nation n join customer c on c.c_nationkey = n.n_nationkey group by n.n_name order by 1 limit 25",
+        f"select n_name, {money} as balance from customer join nation on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by n_name order by n_name limit 25",
+        f"select n_name, {money} as balance from customer join nation on c_nationkey = n_nationkey where n_name = 'NOWHERE' group by n_name limit 25",
+        "select n_name, sum(no_such_column) as balance from nation group by n_name limit 25",
+    ):
+        verdict = guard.check(sql)
+        result = observe.execute(lambda sql=sql: guard.run(sql)) if verdict.ok else observe.Result(error=verdict.reason)
+        results.append((sql, result, observe.observe(result, "What is the balance of each nation?")))
+    chosen = observe.choose(results)
+    return guard.run(chosen.sql).select("n_name", F.col("balance").cast("double").alias("balance"))

@@ -161,6 +161,7 @@ def test_rewrites(spark):
     known = {"Watr": ("equals", ["water", "wa'ter"]), "a": ("equals", ["A"]), "b": ("equals", ["B"]), "x": ("contains", ["50%"])}
     out = rewritten(spark, sql, lambda c, v: known.get(v))
     assert "peril IN ('water', 'wa\\'ter')" in out and "city IN ('A', 'B')" in out and "name ILIKE" in out
+    assert out.endswith("AND city IN ('A', 'B') AND (name ILIKE '%50\\\\%%') AND id = 3 AND other LIKE 'x%'")  # a membership and a pattern take their column along
     assert rewritten(spark, sql, lambda c, v: None) is None
     assert unresolvable(spark, sql, lambda c, v: v != "Watr") == ["Watr"]
     assert dropped_projections(spark, "SELECT a FROM t", ["a", "b", "c"], ["a", "b"]) == ["b"]
