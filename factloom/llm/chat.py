@@ -105,11 +105,14 @@ def loss_spans(turns: list[Turn], rendered: Rendered, template: Callable[[list[T
     return out
 
 
-def format_conversation(turns: list[Turn], template: Callable[[list[Turn]], str] = render, reader: Callable[[str], list[Turn]] = parse) -> dict:
-    """Output, loss spans, rewritten turns, and the digests that are read back from the output."""
+def format_conversation(turns: list[Turn], template: Callable[[list[Turn]], str] = render, reader: Callable[[str], list[Turn]] = parse, plain: Callable[[str], str] = unescape) -> dict:
+    """Output, loss spans, rewritten turns, and the digests that are read back from the output.
+
+    ``reader`` and ``plain`` (of one text) undo what ``template`` does to turns and to texts.
+    """
     rendered = incremental_spans(turns, template)
     spans = loss_spans(turns, rendered, template)
-    loss = "".join([unescape(rendered.output[a:b]) for a, b in spans])
+    loss = "".join([plain(rendered.output[a:b]) for a, b in spans])
     back = reader(rendered.output)
     return {
         "output": rendered.output,
