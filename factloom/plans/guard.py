@@ -3,8 +3,8 @@
 A statement is admitted if it is one query built from an allow-list of plan nodes,
 reads at least one allowed table and no other, calls no denied function, passes
 analysis in a session that holds nothing but the allowed tables, and has a literal
-row limit (one is added, or lowered to the bound).  A refused statement never gets a
-physical plan.
+row limit (one is added, or lowered to the bound; a guard without a bound leaves a statement's
+rows whole).  A refused statement never gets a physical plan.
 
 This is the one module that touches the session's internal parser, which Spark
 Connect doesn't have.
@@ -192,9 +192,12 @@ def _uncorrelated_exists(analysed: Node) -> bool:
 
 
 class Guard:
-    """Admits statements over the given tables, named ``schema.table`` in lower case."""
+    """Admits statements over the given tables, named ``schema.table`` in lower case.
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], row_limit: int):
+    ``row_limit`` bounds what reaches a reader who collects it; with None all rows of a statement come, as for a result that is written.
+    """
+
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], row_limit: int | None):
         self.spark, self.row_limit = spark, row_limit
         self.tables = {name.lower(): df for name, df in tables.items()}
 
@@ -239,7 +242,7 @@ class Guard:
         """Whether ``sql`` may run, and the statement to run."""
         if not self.tables:
             return _refuse("The list of allowed tables is empty")
-        if isinstance(self.row_limit, bool) or not isinstance(self.row_limit, int) or self.row_limit <= 0:
+        if self.row_limit is not None and (isinstance(self.row_limit, bool) or not isinstance(self.row_limit, int) or self.row_limit <= 0):
             return _refuse("The row limit must be a positive whole number")
         try:
             plan = parse(self.spark, sql)
@@ -277,6 +280,8 @@ class Guard:
             return _refuse(f"Column validation failed: {error.getCondition() or ''} {str(error).splitlines()[0]}")
         if _uncorrelated_exists(analysed):
             return _refuse("EXISTS must refer to the outer query")
+        if self.row_limit is None:
+            return Verdict(True, "", bound, tables)
         rows = self.row_limit if limit is None else min(limit, self.row_limit)
         return Verdict(True, "", f"SELECT * FROM ({bound}\n) AS guarded LIMIT {rows}" if limit is None or limit > rows else bound, tables)
 

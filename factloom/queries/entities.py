@@ -172,14 +172,14 @@ def _ground(spark: SparkSession, d: str, sql: str) -> str:
     return rewrite.rewritten(spark, sql, lambda column, literal: known.get((literal, column.split(".")[-1]))) or sql
 
 
-def _guard(spark: SparkSession, d: str) -> Guard:
-    return Guard(spark, {f"ops.{n}": table(spark, d, n) for n in ("region", "nation", "customer", "part", "orders")}, 500)
+def _guard(spark: SparkSession, d: str, rows: int | None = 500) -> Guard:
+    return Guard(spark, {f"ops.{n}": table(spark, d, n) for n in ("region", "nation", "customer", "part", "orders")}, rows)
 
 
 @query("select c_nationkey, count(*) as customers from customer where c_mktsegment in ('BUILDING', 'AUTOMOBILE') group by c_nationkey")
 def grounded_statement(spark: SparkSession, d: str) -> DataFrame:
     """A statement with misspelt literals, rewritten to stored spellings and admitted again."""
-    return _guard(spark, d).run(_ground(spark, d, "select c.c_nationkey, count(*) as customers from customer c where c.c_mktsegment in ('bilding', 'AUTOMOBIL') group by c.c_nationkey"))
+    return _guard(spark, d, None).run(_ground(spark, d, "select c.c_nationkey, count(*) as customers from customer c where c.c_mktsegment in ('bilding', 'AUTOMOBIL') group by c.c_nationkey"))
 
 
 @query("select p_partkey, p_name, p_size from part where p_type = 'ECONOMY' and p_size > 45 order by p_size desc, p_partkey limit 40")

@@ -103,6 +103,13 @@ def test_bounds(spark, tables):
         Guard(spark, tables, 1).run("DROP TABLE claims")
 
 
+def test_no_bound_keeps_every_row(spark, tables):
+    assert Guard(spark, tables, None).run("SELECT claim_id FROM claims CROSS JOIN LATERAL (SELECT explode(sequence(1, 400)) AS x)").count() == 800
+    assert Guard(spark, tables, None).run("SELECT * FROM claims LIMIT 1").count() == 1
+    with pytest.raises(PermissionError):
+        Guard(spark, tables, None).run("DROP TABLE claims")
+
+
 def test_observe(guard):
     sums = [("sum", "incurred", "paid", "reserve"), ("non_negative", "paid"), ("ordered", "low", "high")]
     bare = lambda *c: tuple(("", x) for x in c)

@@ -20,6 +20,13 @@ def test_query(spark, sf, con, name):
         assert list(found.columns)
 
 
+def test_guarded_rows_are_whole(spark):
+    """More rows than a reader's bound (500)."""
+    folder, name = "/root/testdata/sf0.1", "set_union_all"
+    want = rows(connection(folder).execute(q.ORACLE_SQL[name]).df())
+    assert len(want[1]) == 1484 and rows(q.QUERIES[name](spark, folder).toPandas()) == want
+
+
 def test_every_oracle_has_a_query():
     assert set(q.ORACLE_SQL) <= set(q.QUERIES)
 
