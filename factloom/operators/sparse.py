@@ -1,8 +1,9 @@
 """A stored sparse index that skips what can't be among the best.
 
 Documents are dealt to ranges of about RANGE_DOCS by their hash.  A row of the index is a block:
-the postings of one term in one range, with the greatest weight among them.  Blocks are
-sorted by term, so that the statistics of the files prune all but a question's terms.
+the postings of one term in one range, with the greatest weight among them.  A file has the blocks of
+some ranges, sorted by term, so that the statistics of its row groups and pages prune all but a question's terms.
+Only the texts are dealt out, by range; the postings, several times as large, are made where they are written.
 
 A search reads the blocks' greatest weights first.  For each range their sum (times the terms'
 rarity) bounds every score in it, and the greatest alone is reached by some document there.  So the k-th
@@ -28,6 +29,8 @@ from factloom.operators.retrieval import K1, SCORE_DIGITS, B
 INDEX_VERSION = 4
 #: Documents of a range on average.
 RANGE_DOCS = 64
+#: Terms of the texts that one task cuts and one file holds, on average: what is sorted at a time doesn't grow with the corpus.
+TASK_TERMS = 2_000_000
 
 
 def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
@@ -37,7 +40,7 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """blocks: term, range, greatest, postings (array of key, tf, dl); dictionary: term, df; sizes: n_docs, avgdl."""
+    """blocks: term, range, greatest, postings (array of key, tf, dl), n (of them); dictionary: term, df; sizes: n_docs, avgdl."""
 
     blocks: DataFrame
     dictionary: DataFrame
@@ -97,20 +100,24 @@ def query_terms(spark: SparkSession, question: str, stemmed: bool = False) -> li
 
 
 def write_index(chunks: DataFrame, base: str, signature: str, key: str = "doc_id", text: str = "text", stemmed: bool = False) -> None:
-    """Write the index of chunks under ``base``: blocks, dictionary and, last, meta.  Texts are cut into terms once, and terms are stemmed on demand."""
+    """Write the index of chunks under ``base``: blocks, dictionary and, last, meta.  Texts are cut into terms twice, first for their lengths; terms are stemmed on demand."""
     spark = chunks.sparkSession
-    cut = chunks.select(key, F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    counted = cut.select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy(key, "dl", "term").agg(F.count("term").cast("int").alias("tf"))
-    # one row for each document and term, and one for a document without terms
-    counted = stems.stemmed(counted, key) if stemmed else counted
-    counted.write.mode("overwrite").parquet(f"{base}/postings")
-    postings = spark.read.schema(counted.schema).parquet(f"{base}/postings")
-    sizes = postings.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    cut = lambda df, *more: df.select(key, *more, F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    lengths = cut(chunks).select(key, F.size("t").alias("dl")).groupBy(key).agg(F.first("dl").alias("dl"))
+    sizes = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("n_terms")).first()
     ranges = max(1, -(-sizes.n_docs // RANGE_DOCS))
-    there = postings.where("term is not null").withColumn("range", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(ranges)).cast("long"))
-    blocks = there.groupBy("term", "range").agg(F.max(weight(F.col("tf"), F.col("dl"), F.lit(sizes.avgdl or 0.0))).alias("greatest"), F.array_sort(F.collect_list(F.struct(key, "tf", "dl"))).alias("postings"))
-    blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{base}/blocks")
-    there.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{base}/dictionary")
+    tasks = max(min(ranges, spark.sparkContext.defaultParallelism), -(-(sizes.n_terms or 0) // TASK_TERMS))
+    in_range = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(ranges)).cast("long").alias("range")
+    # a document's terms are counted, and a range's blocks made, in the task that has its texts
+    dealt = chunks.select(key, text, in_range).repartition(tasks, "range")
+    counted = cut(dealt, "range").select(key, "range", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "range", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    if stemmed:  # stems are joined by term, so the ranges come together again
+        counted = stems.stemmed(counted, key).select(key, "dl", "term", "tf", in_range).repartition(tasks, "range")
+    blocks = counted.groupBy("term", "range").agg(F.max(weight(F.col("tf"), F.col("dl"), F.lit(sizes.avgdl or 0.0))).alias("greatest"), F.array_sort(F.collect_list(F.struct(key, "tf", "dl"))).alias("postings"))
+    blocks = blocks.withColumn("n", F.size("postings"))
+    blocks.sortWithinPartitions("term", "range").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{base}/blocks")
+    written = spark.read.schema(blocks.schema).parquet(f"{base}/blocks")
+    written.groupBy("term").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{base}/dictionary")
     meta = {"version": INDEX_VERSION, "signature": signature, "n_docs": sizes.n_docs, "avgdl": sizes.avgdl or 0.0, "key": key, "stemmed": stemmed}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/meta")
 

@@ -7,6 +7,7 @@ import threading
 from collections import Counter
 
 import pytest
+from helpers import moved
 from pyspark.sql import functions as F
 
 from factloom.operators import retrieval, sparse
@@ -206,3 +207,16 @@ def test_skipping_keeps_the_best(spark, tmp_path, seed):
     for p in (tmp_path / "index" / "meta").glob(".part-*.crc"):
         p.unlink()
     assert sparse.read_index(spark, base) is None
+
+
+def test_an_index_moves_texts_not_postings(spark, tmp_path):
+    """What is shuffled is a row for each document, twice, and what the dictionary needs; nothing but the index is written."""
+    words = [f"w{i}" for i in range(40)]
+    frame = spark.createDataFrame([(i, " ".join(words)) for i in range(2000)], "doc_id long, text string").repartition(4).localCheckpoint()
+    base = str(tmp_path / "index")
+    records, _, _ = moved(spark, lambda: sparse.write_index(frame, base, ""))
+    assert 2000 < records < 2 * 2000 + 20 * len(words)  # 80,000 postings
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["blocks", "dictionary", "meta"]
+    index = sparse.read_index(spark, base)
+    assert index.dictionary.where("df = 2000").count() == 40 and index.blocks.agg(F.sum("n"), F.sum(F.size("postings"))).first()[:] == (80000, 80000)
+    assert [r.doc_id for r in index.search(["w3"], 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
