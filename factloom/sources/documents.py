@@ -101,22 +101,29 @@ class ChunkStore:
         deltas = {b: d for b, d in state["deltas"].items() if only is None or b in only}
         plain = [(b, d[0]) for b, d in deltas.items() if len(d) == 1]
         merged = [(b, x, i) for b, d in deltas.items() if len(d) > 1 for i, x in enumerate(d)]
-        out = self._read(schema, [(b, x) for b, x in plain]).where("not _gone").drop("_gone", "_file")
+        out = self._read(schema, [(b, x) for b, x in plain]).where("not _gone").drop("_gone", "_file", "_row")
         if merged:
             # the place of a delta in its bucket, by its folder; a document's last delta counts
             order = F.create_map(*[v for x, i in sorted({(f"{x}/_bucket={b}", i) for b, x, i in merged}) for v in (F.lit(x), F.lit(i))])
-            rows = self._read(schema, [(b, x) for b, x, _ in merged]).withColumn("_nth", order[F.regexp_extract("_file", "([0-9a-f]{32}/_bucket=[0-9]+)/", 1)])
-            last = rows.groupBy("doc_id").agg(F.max("_nth").alias("_last"))
-            kept = rows.join(last, "doc_id").where("_nth = _last and not _gone")
+            rows = self._read(schema, [(b, x) for b, x, _ in merged]).withColumn("_row", F.col("_row") + 1)
+            keys = rows.select("doc_id", "_file", "_row", order[F.regexp_extract("_file", "([0-9a-f]{32}/_bucket=[0-9]+)/", 1)].alias("_nth"))
+            last = keys.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("_nth").alias("_last"))
+            old = keys.join(last, F.col("doc_id").eqNullSafe(F.col("_doc"))).where("_nth < _last")
+            # only keys are dealt out and compared; what comes back to the rows is a bit for each, 4 KB for 32,768 rows of a file
+            part, bit = F.bitmap_bucket_number("_row"), F.bitmap_bit_position("_row")
+            replaced = old.groupBy("_file", part.alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_old"))
+            byte = F.conv(F.hex(F.substring("_old", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            marked = rows.where("not _gone").withColumn("_part", part).join(F.broadcast(replaced), ["_file", "_part"], "left")
+            kept = marked.where(F.col("_old").isNull() | (F.getbit(byte, (bit % 8).cast("int")) == 0))
             out = out.unionByName(kept.select(*out.columns))
         return out
 
     def _read(self, schema: StructType, places: list[tuple[str, str]]) -> DataFrame:
         full = StructType([*schema.fields]).add("_gone", "boolean")
         if not places:
-            return self.spark.createDataFrame([], full).withColumn("_file", F.lit(""))
+            return self.spark.createDataFrame([], full).withColumn("_file", F.lit("")).withColumn("_row", F.lit(0).cast("long"))
         paths = [f"{self.folder}/data/{x}/_bucket={b}" for b, x in places]
-        return self.spark.read.schema(full).parquet(*paths).withColumn("_file", F.col("_metadata.file_path"))
+        return self.spark.read.schema(full).parquet(*paths).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     def counts(self) -> DataFrame:
         return self.chunks().groupBy("doc_id").agg(F.count("*").alias("n_chunks"))

@@ -220,3 +220,28 @@ def test_an_index_moves_texts_not_postings(spark, tmp_path):
     index = sparse.read_index(spark, base)
     assert index.dictionary.where("df = 2000").count() == 40 and index.blocks.agg(F.sum("n"), F.sum(F.size("postings"))).first()[:] == (80000, 80000)
     assert [r.doc_id for r in index.search(["w3"], 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_merging_moves_keys_not_texts(spark, tmp_path):
+    """Of a store with replaced and deleted documents what is shuffled is narrow; rows beyond a bitmap's 32,768 count, too."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.sha2(F.concat_ws(":", "id", i), 256)))
+    made = lambda n, t: spark.range(n).select(F.concat("id", F.lit(":0")).alias("id"), F.col("id").cast("string").alias("doc_id"), F.lit("policy").alias("source_type"), t.alias("text"))
+    store = documents.ChunkStore(spark, str(tmp_path / "s"), 2)
+    store.add(made(2000, text))
+    store.replace(made(2000, F.lit("")).where("doc_id % 11 = 0").select("doc_id"), made(2000, F.lit("changed")).where("doc_id % 7 = 0"))
+    found = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that Spark wouldn't broadcast
+    try:
+        _, shuffled, _ = moved(spark, lambda: found.extend(store.chunks().select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {int(r.doc_id): r.n == 7 for r in found} == {i: i % 7 == 0 for i in range(2000) if i % 11 or i % 7 == 0} and len(found) == store.total()
+    assert shuffled < 500_000 < 2000 * 40 * 65 * 0.5  # hexadecimal texts don't shrink below half
+    many = documents.ChunkStore(spark, str(tmp_path / "many"), 1)
+    many.add(made(300_000, F.lit("a")))
+    many.replace(made(300_000, F.lit("")).where("doc_id % 3 = 0").select("doc_id"), made(300_000, F.lit("b")).where("doc_id % 5 = 0"))
+    assert [tuple(r) for r in many.chunks().groupBy("text").agg(F.count("*"), F.sum(F.col("doc_id").cast("long"))).orderBy("text").collect()] == [
+        (t, len(ids), sum(ids)) for t, ids in (("a", [i for i in range(300_000) if i % 3 and i % 5]), ("b", range(0, 300_000, 5)))
+    ]
+    many.compact(1)
+    assert many.chunks().count() == many.total() == 160_000 + 60_000
